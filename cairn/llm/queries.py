@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup, packing, warc
+from cairn.llm import exact_dedup, langid, media, ngram_join, packing, sentencepiece, suffix_dedup, token_scan, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_store(token_store.write_store(table(spark, sf_dir, "documents")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs, model, keep=["held_out"])
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -26,10 +41,33 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=50)
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_token_store": op2_token_store,
+    "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_matroska": op7_matroska,
+    "op8_token_counts": op8_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES = {
