@@ -49,6 +49,14 @@ def own_columns(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return df.select(*picked, *[F.col(f"`{c}`").alias(n) for n, c in renamed.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a column: sizes the number of buckets, never the result."""
     return int(df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0)

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import own_columns, shared_dir, stage
+from cairn.llm.common import fresh, own_columns, shared_dir, stage
 from cairn.llm.skew import join_groups
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,7 +78,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_distinct(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
-    found = docs.withColumn("_sha", F.sha2(normalised(F.col("`text`")), 256))
-    found = found.join(stays.hint("merge"), (found["_sha"] == stays["_stays"]) & found["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    return found.dropDuplicates(["_sha"]).drop("_sha")
+    sha, stays_id, stays_sha = fresh(docs, "_sha"), fresh(docs, "_stays_id"), fresh(docs, "_stays_sha")
+    stays = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias(stays_id), F.col("text_sha256").alias(stays_sha))
+    found = docs.withColumn(sha, F.sha2(normalised(F.col("`text`")), 256))
+    found = found.join(stays.hint("merge"), (found[sha] == stays[stays_sha]) & found["doc_id"].eqNullSafe(stays[stays_id]), "left_semi")
+    return found.dropDuplicates([sha]).drop(sha)

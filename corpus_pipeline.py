@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup, langid, ngram_join, packing, suffix_dedup
-from cairn.llm.common import stage
+from cairn.llm.common import fresh, stage
 
 #: Shortest repeated passage, in bytes, that the suffix stage removes: well under fifty
 #: words of running text, well over what independent texts share by chance.
@@ -36,21 +36,21 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the smallest id, stays
     (five-word shingles, similarity 0.8 or more)."""
-    gone = ngram_join.link(docs, words=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone_id = fresh(docs, "_gone")
+    gone = ngram_join.link(docs, words=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[gone_id], "left_anti")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has are cut out of the text; a
     document of which only white space is left goes."""
-    columns = docs.columns
+    columns, (own_id, own_sha, kept) = docs.columns, (fresh(docs, x) for x in ("_id", "_sha", "_kept"))
     cut = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, with_text=True)
-    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept"))
-    cut = stage(cut.dropDuplicates(["_id", "_sha"]), "cut")
-    same = docs["doc_id"].eqNullSafe(cut["_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == cut["_sha"])
-    out = docs.join(cut.hint("merge"), same, "left")
-    changed = F.col("_sha").isNotNull()
-    out = out.withColumns({"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))})
+    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha), F.col("kept").alias(kept))
+    cut = stage(cut.dropDuplicates([own_id, own_sha]), "cut")
+    same = docs["doc_id"].eqNullSafe(cut[own_id]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == cut[own_sha])
+    out, changed = docs.join(cut.hint("merge"), same, "left"), F.col(own_sha).isNotNull()
+    out = out.withColumns({"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))})
     return out.where(~changed | (F.trim("text") != "")).select(*columns)
 
 
