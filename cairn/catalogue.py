@@ -18,6 +18,10 @@ from cairn.operators import indexes, updates, versions
 from cairn.operators.filters import Eq, Exists, Gt, In, JsonFields, Lt, TypedFields, forced_match
 from cairn.operators.percentiles import floor_percentile
 from cairn.plans.query import Query
+from cairn.sources import formats
+from cairn.sources.scratch import scratch_dir
+from cairn.sources.segments import SegmentStore
+from cairn.streaming import ingest
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -376,6 +380,12 @@ def delete_by_prefix(spark, d):
     return versions.latest(rows.unionByName(versions.without_prefix(rows, "user:0000001", 10_000_000)))
 
 
+@query("delete_by_range", live(after="NOT (key >= 'user:00000020' AND key < 'user:00000040')"))
+def delete_by_range(spark, d):
+    rows = log(spark, d)
+    return versions.latest(rows.unionByName(versions.without_range(rows, "user:00000020", "user:00000040", 10_000_000)))
+
+
 UPSERT = "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer"
 
 
@@ -488,6 +498,55 @@ def strip_system(spark, d):
     return updates.without_system(updates.restamped(docs, F.lit(1).cast(T.LongType())))
 
 
+@query("update_path", "SELECT c_custkey, c_nationkey + 100 AS nation, c_name AS name FROM customer")
+def update_path(spark, d):
+    docs = table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name")).alias("who"))
+    return updates.set_path(docs, "who.nation", F.col("who.nation") + 100).select("c_custkey", "who.*")
+
+
+# ---- storage ---------------------------------------------------------------
+
+
+@query("store_compacted", live())
+def store_compacted(spark, d):
+    """The log in three segments, compacted, reopened and read."""
+    path = scratch_dir(spark, "store")
+    store, rows = SegmentStore(spark, path, "string", "string"), log(spark, d)
+    for part in range(3):
+        store.append(rows.where(F.pmod("seq", F.lit(3)) == part), 10_000_000)
+    store.replace(versions.compact(store.log()))
+    return versions.latest(SegmentStore(spark, path, "string", "string").log())
+
+
+def through_files(spark, d, name: str) -> DataFrame:
+    formats.register(spark)
+    path = scratch_dir(spark, name)
+    log(spark, d).select(F.col("key").cast("binary").alias("key"), "seq", F.col("value").cast("binary").alias("value")).repartition(4, "key").write.format(name).mode("append").save(path)
+    back = spark.read.format(name).load(path)
+    return versions.latest(back).select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query("runs_round_trip", live())
+def runs_round_trip(spark, d):
+    return through_files(spark, d, "cairn_runs")
+
+
+@query("log_round_trip", live())
+def log_round_trip(spark, d):
+    return through_files(spark, d, "cairn_log")
+
+
+@query("stream_ingest", live().replace("SELECT key, seq, value FROM live", "SELECT key, value FROM live"))
+def stream_ingest(spark, d):
+    """The log written as files, taken in by a stream, and read from the store."""
+    path = scratch_dir(spark, "stream")
+    log(spark, d).withColumnRenamed("seq", "op").write.parquet(f"{path}/in")
+    store = SegmentStore(spark, f"{path}/store", "string", "string")
+    changes = spark.readStream.schema("key string, op long, value string").parquet(f"{path}/in")
+    ingest.writer(changes, store).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return versions.latest(store.log()).select("key", "value")
+
+
 # without SQL: text forms and Bloom positions are the engine's own, tested apart
 
 

@@ -95,3 +95,8 @@ def committed(log: DataFrame, buffer: DataFrame, seq: int) -> DataFrame:
 def without_prefix(log: DataFrame, prefix, seq: int) -> DataFrame:
     """Deletions, at ``seq``, of all live keys with a prefix."""
     return scan_prefix(log, prefix).select("key", F.lit(seq).cast("long").alias("seq"), F.lit(None).cast(log.schema["value"].dataType).alias("value"))
+
+
+def without_range(log: DataFrame, start, end, seq: int) -> DataFrame:
+    """Deletions, at ``seq``, of all live keys of a range; start inclusive, end exclusive."""
+    return scan(log, start, end).select("key", F.lit(seq).cast("long").alias("seq"), F.lit(None).cast(log.schema["value"].dataType).alias("value"))

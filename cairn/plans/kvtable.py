@@ -64,6 +64,13 @@ class KVTable:
         self.seq = self.store.next_seq
         return seq
 
+    def delete_range(self, start: str | bytes | None, end: str | bytes | None) -> int:
+        self.flush()
+        seq = self.store.next_seq
+        self.store.append(versions.without_range(self.log(), as_bytes(start), as_bytes(end), seq), seq + 1)
+        self.seq = self.store.next_seq
+        return seq
+
     def flush(self) -> None:
         if self.pending:
             self.store.append(self.spark.createDataFrame(self.pending, self.store.schema), self.seq)
