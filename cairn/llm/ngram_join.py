@@ -14,6 +14,7 @@ about n comparisons while no link that would join two components is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,13 @@ from cairn.llm.skew import join_groups
 from cairn.llm.wordbpe import hash_spans
 
 BUCKET_BYTES = 16 << 20
-BAND_GROWTH = 1.4
+BAND_GROWTH = 1.25
+#: Odds that a set has so many empty parts that their keys are needed too.
+EMPTY_ODDS = 1e-7
 BITMAP_LOW, BITMAP_HIGH = 16, 28
+EDGES_PER_TASK = 500_000
+#: Stars per group and round grow by this.
+PIVOT_GROWTH = 8
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -80,11 +86,34 @@ def shingles(buf: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out[where], np.append(begin, number.sum())
 
 
+def spare_parts(size: int, differ: int) -> int:
+    """Parts beyond ``differ``: so many that a set of ``size`` shingles seldom leaves as
+    many empty (their number is about Poisson), and three at least."""
+    for spare in range(3, 2 * differ + 4):
+        mean = (differ + spare) * math.exp(-size / (differ + spare))
+        term = math.exp(-mean)
+        below = term
+        for k in range(1, spare):
+            term *= mean / k
+            below += term
+        if 1 - below <= EMPTY_ODDS:
+            return spare
+    return 2 * differ + 3
+
+
 class Bands:
     """Bands of set sizes; percent is the least similarity of a link."""
 
     def __init__(self, percent: int):
-        self.percent, self.lows = percent, [1]
+        self.percent, self.lows, self.known = percent, [1], {}
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts, and the most shingles in which linked sets of the band differ."""
+        if band not in self.known:
+            low, high = self.lows[band], self.lows[band + 1] - 1
+            differ = (100 - self.percent) * 2 * high // (100 + self.percent)
+            self.known[band] = (differ + spare_parts(-(-low * self.percent // 100), differ) if differ else 0, differ)
+        return self.known[band]
 
     def levels(self, size: int) -> list[tuple[int, int, int]]:
         """(band, parts, most differing shingles) of each band in which a set of this
@@ -92,12 +121,11 @@ class Bands:
         while self.lows[-1] * self.percent <= size * 100:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND_GROWTH)))
         found = []
-        for band in range(len(self.lows) - 1):
-            low, high = self.lows[band], self.lows[band + 1] - 1
-            if low * self.percent <= size * 100 and size <= high:
-                differ = (100 - self.percent) * 2 * high // (100 + self.percent)
-                if differ:
-                    found.append((band, differ + 2 + differ // 32, differ))
+        for band in range(len(self.lows) - 2, -1, -1):
+            if size >= self.lows[band + 1]:
+                break
+            if self.lows[band] * self.percent <= size * 100 and self.parts(band)[0]:
+                found.append((band, *self.parts(band)))
         return found
 
 
@@ -132,20 +160,55 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ---- connected components --------------------------------------------------
 
 
+def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
+    """The smallest node reachable by these edges alone, for each of their nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for x, y in zip(a, b, strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(parent)}
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, by passing labels on and
-    following them, each pass written to the shared folder."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        near = stage(labels.join(seen, "node").select("node", "label", F.least("label", "seen").alias("near")), "near")
-        jump = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        labels = stage(near.join(jump, "near").select("node", F.col("label").alias("old"), F.col("far").alias("label")), "labels")
-        changed = labels.where("old <> label").limit(1).count()
-        labels = labels.drop("old")
-        if not changed:
-            return labels
+    """node, label: the smallest node of its component.
+
+    Edges are dealt evenly to tasks of at most EDGES_PER_TASK, each of which contracts
+    its own.  A node that several tasks saw ties their roots together; those ties are a
+    smaller graph over roots alone, solved in the same way.
+    """
+    spark = edges.sparkSession
+    edges = stage(edges.select("a", "b"), "edges")
+    tasks = -(-edges.count() // EDGES_PER_TASK)
+    if not tasks:
+        return spark.createDataFrame([], "node long, label long")
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in batches:
+            a += batch.column("a").to_pylist()
+            b += batch.column("b").to_pylist()
+        found = local_roots(a, b)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(found.keys(), pa.int64()), "label": pa.array(found.values(), pa.int64())})
+
+    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
+    roots = stage(dealt.mapInArrow(contract, "node long, label long"), "roots")
+    if tasks == 1:
+        return roots
+    ties = roots.groupBy("node").agg(F.min("label").alias("a"), F.collect_set("label").alias("all"))  # one label per task at most
+    ties = ties.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
+    further = components(ties).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    whole = roots.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return stage(whole.groupBy("node").agg(F.min("label").alias("label")), "labels")
 
 
 # ---- the distributed steps -------------------------------------------------
@@ -341,26 +404,31 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     if number:
         folder = shared_dir(spark, "sets")
         sets = _store_sets(docs, wanted, number, words, folder)
-        stars = groups.groupBy("gid").agg(F.min("class").alias("a"))
-        first = groups.join(stars, "gid").where("class <> a").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a"))
-        edges = stage(_verify(first.select("a", "b"), sets, folder, percent), "links")
+        # the member that shares most keys is likely the text the others are copies of
+        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+        weight = groups.join(sizes, "gid").groupBy("class").agg(F.sum("size").alias("weight"))
+        groups = stage(groups.join(weight, "class"), "groups")
+        stars = groups.groupBy("gid").agg(F.max(F.struct("weight", "class")).alias("a"))
+        first = groups.join(stars, "gid").where(F.col("class") != F.col("a.class")).groupBy(F.col("class").alias("b")).agg(F.max("a").alias("a"))
+        edges = stage(_verify(first.select("a.class", "b").toDF("a", "b"), sets, folder, percent), "links")
         labels = components(edges)
-        pivots, turn = 1, 0
+        pivots = 1
         while True:
-            named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").select("gid", "class", F.coalesce("label", "class").alias("label"))
+            named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
             split = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-            named = stage(named.join(split, "gid", "left_semi"), "open")
+            named = named.join(split, "gid", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("weight"), "class")))
+            named = stage(named, "open")
             if not named.limit(1).count():
                 break
-            ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy("class")))
-            heads = ranked.where(F.col("rank") <= pivots).select("gid", F.col("class").alias("a"), F.col("label").alias("label_a"))
-            pairs = named.join(heads, "gid").where("label <> label_a AND class <> a")
-            pairs = stage(pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct(), "pairs")
-            edges = stage(edges.union(_verify(pairs, sets, folder, percent)), "links")
-            labels = components(edges)
-            groups = stage(ranked.where(F.col("rank") > pivots).select("gid", "class"), "groups")
-            turn += 1
-            pivots = 4 ** max(0, turn - 1)
+            heads = named.where(F.col("rank") <= pivots).select("gid", F.col("class").alias("a"), F.col("label").alias("label_a"))
+            pairs = named.join(heads, "gid").where("label <> label_a")
+            pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+            found = stage(_verify(pairs, sets, folder, percent), "links")
+            if found.limit(1).count():
+                edges = stage(edges.union(found), "edges")
+                labels = components(edges)
+            groups = named.where(F.col("rank") > pivots).select("gid", "class", "weight")
+            pivots *= PIVOT_GROWTH
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = stage(named.select("class", "least", "copies", (F.lit(None).cast("long") if labels is None else F.col("label")).alias("label")).withColumn("label", F.coalesce("label", "class")), "named")
     whole = stage(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")

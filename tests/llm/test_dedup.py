@@ -218,8 +218,12 @@ def test_hamming_distance_is_a_lower_bound():
     assert 0 < distance <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
+@pytest.mark.parametrize("most", [500_000, 5])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EDGES_PER_TASK", most)
+    order = list(range(41))
+    random.Random(8).shuffle(order)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     found = {r["node"]: r["label"] for r in ngram_join.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert ngram_join.components(edges.where(F.lit(False))).count() == 0
