@@ -366,19 +366,29 @@ def _store_sets(docs: DataFrame, wanted: DataFrame, rows: int, n: int, folder: s
     return stage(sets.join(wanted.hint("merge"), ["class", "doc_id"], "left_semi").groupBy("class").agg(F.min(F.struct("file", "at", "size")).alias("set")), "sets")
 
 
+VERIFIED = "a long, b long, linked boolean, differ long, n_a long, n_b long"
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
+    """The pairs (a, b) of classes, whether they are linked, the size of their symmetric
+    difference, and their sizes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BlobReader(folder, 64 << 20)
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-            good = [similar(*(np.frombuffer(reader.get(s["file"], s["at"], s["size"]), "<u8") for s in p), percent) for p in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, g in zip(a, good, strict=True) if g], pa.int64()), "b": pa.array([v for v, g in zip(b, good, strict=True) if g], pa.int64())})
+            found = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = (np.frombuffer(reader.get(v["file"], v["at"], v["size"]), "<u8") for v in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                found.append((100 * both >= percent * (len(a) + len(b) - both), len(a) + len(b) - 2 * both, len(a), len(b)))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            arrays = [batch.column("a"), batch.column("b"), pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in VERIFIED.split(", ")])
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return placed.repartition(parts).sortWithinPartitions("x", "y").mapInArrow(check, "a long, b long")
+    placed = placed.select("a", "b", "x", "y").repartition(parts).sortWithinPartitions("x", "y")
+    return stage(placed.mapInArrow(check, VERIFIED), "verified")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,8 +420,13 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         groups = stage(groups.join(weight, "class"), "groups")
         stars = groups.groupBy("gid").agg(F.max(F.struct("weight", "class")).alias("a"))
         first = groups.join(stars, "gid").where(F.col("class") != F.col("a.class")).groupBy(F.col("class").alias("b")).agg(F.max("a").alias("a"))
-        edges = stage(_verify(first.select("a.class", "b").toDF("a", "b"), sets, folder, percent), "links")
+        tested = _verify(first.select("a.class", "b").toDF("a", "b"), sets, folder, percent)
+        edges = tested.where("linked").select("a", "b")
         labels = components(edges)
+        # each class with its star and how far it is from it: two classes of one star
+        # differ at least by the difference of their distances (triangle inequality)
+        stars = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"), F.col("n_b").alias("n"))
+        groups = stage(groups.join(stars, "class", "left"), "groups")
         pivots = 1
         while True:
             named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -420,14 +435,16 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
             named = stage(named, "open")
             if not named.limit(1).count():
                 break
-            heads = named.where(F.col("rank") <= pivots).select("gid", F.col("class").alias("a"), F.col("label").alias("label_a"))
-            pairs = named.join(heads, "gid").where("label <> label_a")
-            pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-            found = stage(_verify(pairs, sets, folder, percent), "links")
+            heads = named.where(F.col("rank") <= pivots).select("gid", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "star", "far", "n")])
+            seen = (F.col("star").eqNullSafe(F.col("class_a"))) | (F.col("star_a").eqNullSafe(F.col("class")))
+            apart = (F.col("star") == F.col("star_a")) & (F.abs(F.col("far") - F.col("far_a")) * (100 + percent) > (F.col("n") + F.col("n_a")) * (100 - percent))
+            pairs = named.join(heads, "gid").where((F.col("label") != F.col("label_a")) & ~seen & ~F.coalesce(apart, F.lit(False)))
+            pairs = pairs.select(F.least("class_a", "class").alias("a"), F.greatest("class_a", "class").alias("b")).distinct()
+            found = _verify(pairs, sets, folder, percent).where("linked").select("a", "b")
             if found.limit(1).count():
                 edges = stage(edges.union(found), "edges")
                 labels = components(edges)
-            groups = named.where(F.col("rank") > pivots).select("gid", "class", "weight")
+            groups = named.where(F.col("rank") > pivots).drop("rank", "label")
             pivots *= PIVOT_GROWTH
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = stage(named.select("class", "least", "copies", (F.lit(None).cast("long") if labels is None else F.col("label")).alias("label")).withColumn("label", F.coalesce("label", "class")), "named")
