@@ -1,7 +1,7 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-The distinct segments of a batch (a word with the spaces before it; no piece crosses
-one) are concatenated and indexed by a suffix array as deep as the longest piece.
+The distinct segments of a batch (cut where characters meet that no piece has side by
+side, so that no merge crosses; told apart by a 64-bit hash) are concatenated and indexed by a suffix array as deep as the longest piece.
 Binary search finds every piece's range of occurrences; all occurrences are edges
 (begin, end, piece), which are sorted by position and relaxed from left to right.
 
@@ -14,6 +14,8 @@ merges' result exactly if all its neighbours may be, so each position keeps one
 from __future__ import annotations
 
 import hashlib
+import math
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cairn.llm.common import flat, own_columns, slices, spread
-from cairn.llm.wordbpe import default_path
+from cairn.llm.wordbpe import default_path, hash_spans
 
 BLANK = "▁"
 
@@ -30,7 +32,7 @@ BLANK = "▁"
 class PieceModel:
     """A BPE model with byte fallback, identity normalisation and a dummy prefix."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -49,29 +51,62 @@ class PieceModel:
                 self.output.append(bytes([int(p.piece[3:5], 16)]))
             else:
                 self.output.append(p.piece.replace(BLANK, " ").encode() if kinds[i] == 1 else b"")
-        if any(BLANK in p.lstrip(BLANK) for p in self.rank):
-            raise ValueError("a piece goes on after a space; segments can't be taken apart")
         self.sizes = np.array([len(b) for b in self.output], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.output), np.uint8)
         self.ids = {p: i for p, (_, i) in self.rank.items()}
-        whole = [p for p in self.rank if len(p) == 1 or self.merged(p) == [p]]
-        self.pieces = sorted(whole)
-        self.longest = max(map(len, whole))
-        self.follows: dict[tuple[str, str], bool] = {}
-        alphabet = sorted({c for p in whole for c in p})
+        self._merge_trees()
+        self.pieces = sorted(p for p in self.rank if p in self.right)
+        self.longest = max(map(len, self.pieces))
+        alphabet = sorted({c for p in self.rank for c in p})
         self.code = {c: i + 2 for i, c in enumerate(alphabet)}  # 0: end, 1: any other character
-        width = 2 * self.longest
-        self.low = np.array([self._key(p) for p in self.pieces], f"S{width}")
-        self.high = np.array([self._key(p).ljust(width, b"\xff") for p in self.pieces], f"S{width}")
+        self.table = np.ones(sys.maxunicode + 1, np.uint16)
+        self.table[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
+        self.many = len(alphabet) + 2
+        self.inside = np.zeros(self.many * self.many, bool)  # neighbours within some piece
+        for p in self.rank:
+            for x, y in zip(p[:-1], p[1:], strict=True):
+                self.inside[self.code[x] * self.many + self.code[y]] = True
+        self.width = -(-2 * self.longest // 8) * 8
+        self.low = np.array([self._key(p) for p in self.pieces], f"S{self.width}")
+        self.high = np.array([self._key(p).ljust(self.width, b"\xff") for p in self.pieces], f"S{self.width}")
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.most = remembered
+        self.follows: dict[int, bool] = {}
         self._forget()
 
+    def _merge_trees(self) -> None:
+        """For every piece that its own merges build: the symbols at its right and at its
+        left edge while it grows, each with the ranks at which it comes and goes."""
+        symbols = {p: i for i, p in enumerate(dict.fromkeys([*self.rank, *(c for p in self.rank for c in p)]))}
+        self.symbols, self.joined = symbols, {}
+        for p, (rank, _) in self.rank.items():
+            for k in range(1, len(p)):
+                if p[:k] in symbols and p[k:] in symbols:
+                    self.joined[symbols[p[:k]] << 32 | symbols[p[k:]]] = rank
+        self.right: dict[str, list] = {}
+        self.left: dict[str, list] = {}
+        self.stepwise: set[str] = set()  # not in order of rank: checked by merging
+        for p in self.rank:
+            tree: dict[str, tuple[str, str]] = {}
+            if self.merged(p, tree) != [p]:
+                continue
+            for edge, side in ((self.right, 1), (self.left, 0)):
+                here, gone, path = p, math.inf, []
+                while True:
+                    come = self.rank[here][0] if here in tree else -math.inf
+                    if come >= gone:
+                        self.stepwise.add(p)
+                    path.append((symbols[here], come, gone))
+                    if here not in tree:
+                        break
+                    here, gone = tree[here][side], come
+                edge[p] = path
+
     def _key(self, piece: str) -> bytes:
         return b"".join(self.code[c].to_bytes(2, "big") for c in piece)
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, tree: dict[str, tuple[str, str]] | None = None) -> list[str]:
         """The merges, step by step: best score first, of equals the leftmost."""
         parts = list(text)
         while len(parts) > 1:
@@ -79,34 +114,38 @@ class PieceModel:
             if best is None:
                 break
             i = best[1]
+            if tree is not None:
+                tree[parts[i] + parts[i + 1]] = (parts[i], parts[i + 1])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
     def may_follow(self, a: str, b: str) -> bool:
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            known = self.follows[a, b] = self.merged(a + b) == [a, b]
-        return known
+        """Whether no merge joins the last symbol of a and the first of b at any time
+        while both are there.  The earlier goes first; of one rank, the left one."""
+        if a in self.stepwise or b in self.stepwise:
+            return self.merged(a + b) == [a, b]
+        for x, x_come, x_gone in self.right.get(a, ()):
+            for y, y_come, y_gone in self.left.get(b, ()):
+                rank = self.joined.get(x << 32 | y)
+                if rank is not None:
+                    when = max(rank, x_come, y_come)
+                    if when < x_gone and when <= y_gone:
+                        return False
+        return True
 
     def segment(self, texts: list[str]) -> list[list[str]]:
         """The pieces of distinct segments (or characters that are no piece)."""
         joined = "\0".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-        table = np.zeros(int(points.max()) + 1, np.uint16) + 1
-        for c, i in self.code.items():
-            if ord(c) < len(table):
-                table[ord(c)] = i
-        codes = table[points]
+        codes = self.table[points]
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes + 1) - 1
         codes[ends] = 0
-        padded = np.concatenate([codes, np.zeros(self.longest, np.uint16)]).astype(">u2")
-        windows = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[: len(codes)]
-        suffixes = np.ascontiguousarray(windows).view(f"S{2 * self.longest}")[:, 0]
-        order = np.argsort(suffixes, kind="stable")
-        ordered = suffixes[order]
+        padded = np.concatenate([codes, np.zeros(self.width // 2, np.uint16)]).astype(">u2")
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width // 2)[: len(codes)])
+        columns = windows.view(">u8").astype(np.uint64)
+        order = np.lexsort(columns.T[::-1])
+        ordered = windows.view(f"S{self.width}")[order, 0]
         low, high = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
         number = high - low
         begin = order[spread(low, number)]
@@ -116,41 +155,56 @@ class PieceModel:
         piece = np.concatenate([piece, -1 - other])
         end = np.concatenate([begin[: len(piece) - len(other)] + self.lengths[piece[: len(piece) - len(other)]], other + 1])
         by_place = np.lexsort((begin, end))
-        at: list[str | None] = [None] * (len(codes) + 1)
-        starts = set((ends - sizes).tolist())
-        may_follow, names = self.may_follow, self.pieces
+        # of each position the piece that ends there: -1 none yet, -2 start of a segment
+        at = [-1] * (len(codes) + 1)
+        for i in (ends - sizes).tolist():
+            at[i] = -2
+        other_names = {-3 - int(i): joined[i] for i in other}
+        piece[len(piece) - len(other) :] = -3 - other
+        names, follows, many = self.pieces, self.follows, len(self.pieces)
+        name = lambda i: names[i] if i >= 0 else other_names[i]
         for a, b, p in zip(begin[by_place].tolist(), end[by_place].tolist(), piece[by_place].tolist(), strict=True):
-            if at[b] is None:
-                name = names[p] if p >= 0 else joined[a]
-                if a in starts or (at[a] is not None and may_follow(at[a], name)):
-                    at[b] = name
+            before = at[a]
+            if at[b] != -1 or before == -1:
+                continue
+            if before != -2:
+                key = before * many + p
+                good = follows.get(key) if before >= 0 and p >= 0 else None
+                if good is None:
+                    good = self.may_follow(name(before), name(p))
+                    if before >= 0 and p >= 0:
+                        if len(follows) > 400_000:
+                            follows.clear()
+                        follows[key] = good
+                if not good:
+                    continue
+            at[b] = p
         found = []
         for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
             parts, here = [], end
             while here > end - size:
-                parts.append(at[here])
-                here -= len(at[here])
+                parts.append(name(at[here]))
+                here -= len(parts[-1])
             found.append(parts[::-1])
         return found
 
     # -- whole texts
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held, self.count = [], 0
+        self.known: dict[int, int] = {}
+        self.count = 0
         self.at, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 16, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [t for t in new if not t.startswith(BLANK * 2) and "\0" not in t]
-        parts = dict(zip(plain, self.segment(plain), strict=True)) if plain else {}
+    def _learn(self, hashes: list[int], new: list[str]) -> None:
         # pieces of several spaces all have one score, so order decides between merges
-        parts |= {t: self.merged(t) for t in new if t not in parts}
+        plain = [t for t in new if not t.startswith(BLANK * 2)]
+        parts = dict(zip(plain, self.segment(plain), strict=True)) if plain else {}
         ids: list[int] = []
         sizes = []
         for t in new:
             before = len(ids)
-            for p in parts[t]:
+            for p in parts[t] if t in parts else self.merged(t):
                 i = self.ids.get(p)
                 if i is None:
                     ids.extend(self.byte_ids[b] for b in p.encode())
@@ -166,38 +220,43 @@ class PieceModel:
         self.len[n : n + len(new)] = sizes
         self.at[n : n + len(new)] = self.count + np.cumsum([0, *sizes[:-1]])
         self.count += len(ids)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.known.update(zip(hashes, range(n, n + len(new)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and each text's offset; null and empty: none."""
-        segments: list[str] = []
-        counts = []
-        for text in texts:
-            own = []
-            if text:
-                text = text.replace(" ", BLANK)
-                own = text.split(BLANK)
-                if "" in own:
-                    spaces, merged = 0, []
-                    for word in own:
-                        spaces += 1
-                        if word:
-                            merged.append(BLANK * spaces + word)
-                            spaces = 0
-                    own = [*merged, *([BLANK * spaces] if spaces else [])]
-                else:
-                    own = [BLANK + w for w in own]
-            counts.append(len(own))
-            segments += own
-        distinct = set(segments)
+        """Ids of all texts in a row, and each text's offset; null and empty: none.
+
+        A segment ends where two characters meet that no piece has side by side, since
+        no merge can cross there.
+        """
+        full = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        joined = "".join(full)
+        bounds = np.cumsum([0, *map(len, full)])
+        if not joined:
+            return np.zeros(0, np.int32), bounds
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        codes = self.table[points].astype(np.int64)
+        head = np.ones(len(codes), bool)
+        head[1:] = ~self.inside[codes[:-1] * self.many + codes[1:]]
+        head[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        starts = np.flatnonzero(head)
+        lengths = np.diff(np.append(starts, len(codes)))
+        hashes = hash_spans(points.view(np.uint8), starts * 4, lengths * 4)
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        new = np.ones(len(ordered), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        heads, distinct = order[new], ordered[new].tolist()
         if len(self.known) + len(distinct) > self.most:
             self._forget()
-        if new := [s for s in distinct if s not in self.known]:
-            self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        if missing := [i for i, h in enumerate(distinct) if h not in self.known]:
+            where = heads[missing]
+            self._learn([distinct[i] for i in missing], [joined[a : a + n] for a, n in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)])
+        word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        index = np.empty(len(hashes), np.int64)
+        index[order] = word[np.cumsum(new) - 1]
         sizes = self.len[index]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[spread(self.at[index], sizes)], total[np.cumsum([0, *counts])]
+        return self.flat[spread(self.at[index], sizes)], total[np.searchsorted(starts, bounds)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """UTF-8 of each text: the pieces' bytes without the first space."""
