@@ -6,9 +6,11 @@ and each part is sketched by XOR: a word of one-bit parities (whose Hamming dist
 never exceeds the symmetric difference) and the XOR of the hashes themselves.  Each
 differing shingle spoils one part at most, so linked sets agree in a part (pigeonhole)
 and meet under its key.  Sets that meet are verified exactly; equal sets are one class
-throughout.  Within a group of classes that share a key only stars are verified, and
-further stars only among what is not yet connected, so a group of n near copies costs
-about n comparisons while no link that would join two components is lost.
+throughout.  In each group of classes that share a key a star is verified first: all
+members against the one that shares most keys.  Groups that are then not yet connected
+are compared in blocks of members, within a task, where bit sketches and the triangle
+inequality leave out nearly all that isn't linked; only links leave the task, so no list
+of pairs is ever made and no link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ BAND_GROWTH = 1.25
 EMPTY_ODDS = 1e-7
 BITMAP_LOW, BITMAP_HIGH = 16, 28
 EDGES_PER_TASK = 500_000
-#: Stars per group and round grow by this.
-PIVOT_GROWTH = 8
+#: Members of a group are compared in blocks of this many.
+MEMBERS = 64
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -157,6 +159,47 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """One row of one-bit parities per set; the Hamming distance of two rows is at most
+    the symmetric difference of their sets."""
+    found = [np.packbits((np.bincount((own >> np.uint64(16)) & np.uint64(bits - 1), minlength=bits) & 1).astype(np.uint8)) for own in sets]
+    return np.array(found, np.uint8).reshape(len(sets), bits // 8).view(np.uint64)
+
+
+def block_links(left: list[tuple], right: list[tuple], sets: dict, percent: int) -> list[tuple[int, int]]:
+    """Links that join the labels of two blocks of (class, label, star, far): pairs whose
+    sketches differ by more than linked sets can, or that the triangle inequality rules
+    out, are left out at once; the rest is compared exactly, and labels that a link has
+    joined are not compared again."""
+    a, b = [sets[m[0]] for m in left], [sets[m[0]] for m in right]
+    n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    total = n_a[:, None] + n_b[None, :]
+    bits = 1 << min(16, max(6, int(total.max() * 5 // 4).bit_length()))
+    x, y = bit_sketches(a, bits), bit_sketches(b, bits)
+    open_ = np.array([[p[1] != q[1] for q in right] for p in left])
+    star_a, star_b = (np.array([m[2] for m in block], np.int64) for block in (left, right))
+    far_a, far_b = (np.array([m[3] for m in block], np.int64) for block in (left, right))
+    known = (star_a[:, None] == star_b[None, :]) & (far_a[:, None] >= 0) & (far_b[None, :] >= 0)
+    low = np.where(known, np.abs(far_a[:, None] - far_b[None, :]), 0)
+    for i in range(len(left)):
+        if open_[i].any():
+            low[i] = np.maximum(low[i], np.bitwise_count(x[i] ^ y).sum(axis=1))
+    open_ &= low * (100 + percent) <= total * (100 - percent)
+    links, joined = [], {}
+
+    def root(v: int) -> int:
+        while v in joined:
+            v = joined[v]
+        return v
+
+    for i, j in zip(*np.nonzero(open_), strict=True):
+        p, q = root(left[i][1]), root(right[j][1])
+        if p != q and similar(a[i], b[j], percent):
+            links.append((left[i][0], right[j][0]))
+            joined[max(p, q)] = min(p, q)
+    return links
+
+
 # ---- connected components --------------------------------------------------
 
 
@@ -391,6 +434,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> Dat
     return stage(placed.mapInArrow(check, VERIFIED), "verified")
 
 
+def _verify_blocks(named: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among all members of each group."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = BlobReader(folder, 48 << 20)
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                own = {m["class"]: np.frombuffer(reader.get(m["set"]["file"], m["set"]["at"], m["set"]["size"]), "<u8") for m in [*left, *right]}
+                rows = [[(m["class"], m["label"], m["star"] or 0, -1 if m["star"] is None else m["far"]) for m in block] for block in (left, right)]
+                links += block_links(*rows, own, percent)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    ranked = named.join(sets, "class").withColumn("block", F.expr(f"(row_number() OVER (PARTITION BY gid ORDER BY weight DESC, class) - 1) div {MEMBERS}"))
+    blocks = stage(ranked.groupBy("gid", "block").agg(F.collect_list(F.struct("class", "label", "star", "far", "set")).alias("members")), "blocks")
+    other = blocks.select("gid", F.col("block").alias("other"), F.col("members").alias("right"))
+    pairs = blocks.withColumnRenamed("members", "left").join(other, "gid").where("block <= other").select("left", "right")
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(pairs.repartition(parts).mapInArrow(check, "a long, b long").distinct(), "links")
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (the smallest id reachable by
     links, its own included).
@@ -425,27 +489,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         labels = components(edges)
         # each class with its star and how far it is from it: two classes of one star
         # differ at least by the difference of their distances (triangle inequality)
-        stars = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"), F.col("n_b").alias("n"))
-        groups = stage(groups.join(stars, "class", "left"), "groups")
-        pivots = 1
-        while True:
-            named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-            split = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-            named = named.join(split, "gid", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("weight"), "class")))
-            named = stage(named, "open")
-            if not named.limit(1).count():
-                break
-            heads = named.where(F.col("rank") <= pivots).select("gid", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "star", "far", "n")])
-            seen = (F.col("star").eqNullSafe(F.col("class_a"))) | (F.col("star_a").eqNullSafe(F.col("class")))
-            apart = (F.col("star") == F.col("star_a")) & (F.abs(F.col("far") - F.col("far_a")) * (100 + percent) > (F.col("n") + F.col("n_a")) * (100 - percent))
-            pairs = named.join(heads, "gid").where((F.col("label") != F.col("label_a")) & ~seen & ~F.coalesce(apart, F.lit(False)))
-            pairs = pairs.select(F.least("class_a", "class").alias("a"), F.greatest("class_a", "class").alias("b")).distinct()
-            found = _verify(pairs, sets, folder, percent).where("linked").select("a", "b")
-            if found.limit(1).count():
-                edges = stage(edges.union(found), "edges")
-                labels = components(edges)
-            groups = named.where(F.col("rank") > pivots).drop("rank", "label")
-            pivots *= PIVOT_GROWTH
+        stars = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"))
+        named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        split = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
+        named = stage(named.join(split, "gid", "left_semi").join(stars, "class", "left"), "open")
+        labels = components(edges.union(_verify_blocks(named, sets, folder, percent)))
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = stage(named.select("class", "least", "copies", (F.lit(None).cast("long") if labels is None else F.col("label")).alias("label")).withColumn("label", F.coalesce("label", "class")), "named")
     whole = stage(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")

@@ -216,6 +216,9 @@ def test_hamming_distance_is_a_lower_bound():
         row[where.astype(int)] = parity
     distance = int(np.bitwise_count(words[0] ^ words[1]).sum())
     assert 0 < distance <= len(np.setxor1d(a, b))
+    for bits in (64, 512, 4096):
+        x, y = ngram_join.bit_sketches([a, b], bits)
+        assert 0 < int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("most", [500_000, 5])
