@@ -5,8 +5,8 @@ document with a smaller id.  Suffixes are ordered only through ``threshold`` byt
 most significant digit first; suffixes still equal after the last digit are exactly
 the repeated windows.
 
-The first digit of a window is the smallest hash of the short byte strings inside it,
-so equal windows have the same first digit and neighbouring windows mostly share one.
+The first digit of a window stands for the smallest hash of the short byte strings in
+it, so equal windows have the same first digit and neighbouring windows mostly share one.
 Runs of windows with one first digit are dealt to buckets by it in two steps: first the
 digits alone (four bytes each), to learn which occur in more than one place, then the
 text under those.  Within a bucket the windows are refined eight bytes at a time, and
@@ -29,7 +29,7 @@ from cairn.llm.common import BlobReader, BlobWriter, flat, own_columns, shared_d
 from cairn.llm.skew import join_groups
 
 BLOCK = 4 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 RUN = 64
 NO_ID = (1 << 63) - 1
 
@@ -78,6 +78,12 @@ def first_digits(buf: np.ndarray, threshold: int) -> np.ndarray:
     return h
 
 
+def even(digit: np.ndarray) -> np.ndarray:
+    """One to one; minima are mostly small and would fill the first buckets only."""
+    digit = (digit ^ (digit >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return digit ^ (digit >> np.uint64(32))
+
+
 def runs(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First digit, first window and number of windows of each run in the given
     documents; at most RUN windows to a run, none across documents."""
@@ -102,7 +108,7 @@ def runs(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, threshold: int)
         turn = spread(np.zeros(len(pieces), np.int64), pieces)
         starts, number = np.repeat(starts, pieces) + turn * RUN, np.repeat(number, pieces) - turn * RUN
         number = np.minimum(number, RUN)
-    return digit[starts], starts, number
+    return even(digit[starts]), starts, number
 
 
 def _bounds(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
