@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cairn.llm.common import flat, own_columns, slices, spread
-from cairn.llm.wordbpe import default_path, hash_spans
+from cairn.llm.wordbpe import default_path, distinct_spans
 
 BLANK = "▁"
 
@@ -95,7 +95,7 @@ class PieceModel:
                 here, gone, path = p, math.inf, []
                 while True:
                     come = self.rank[here][0] if here in tree else -math.inf
-                    if come >= gone:
+                    if come > gone:
                         self.stepwise.add(p)
                     path.append((symbols[here], come, gone))
                     if here not in tree:
@@ -121,7 +121,9 @@ class PieceModel:
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether no merge joins the last symbol of a and the first of b at any time
-        while both are there.  The earlier goes first; of one rank, the left one."""
+        while both are there.  The earlier goes first; of one rank, the left one: so all
+        merges within a go before those of their rank within b, and the join of an edge
+        goes after those of its rank within a and before those within b."""
         if a in self.stepwise or b in self.stepwise:
             return self.merged(a + b) == [a, b]
         for x, x_come, x_gone in self.right.get(a, ()):
@@ -191,20 +193,17 @@ class PieceModel:
     # -- whole texts
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.count = 0
         self.at, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 16, np.int32)
 
-    def _learn(self, hashes: list[int], new: list[str]) -> None:
-        # pieces of several spaces all have one score, so order decides between merges
-        plain = [t for t in new if not t.startswith(BLANK * 2)]
-        parts = dict(zip(plain, self.segment(plain), strict=True)) if plain else {}
+    def _learn(self, new: list[str]) -> None:
         ids: list[int] = []
         sizes = []
-        for t in new:
+        for parts in self.segment(new):
             before = len(ids)
-            for p in parts[t] if t in parts else self.merged(t):
+            for p in parts:
                 i = self.ids.get(p)
                 if i is None:
                     ids.extend(self.byte_ids[b] for b in p.encode())
@@ -220,7 +219,7 @@ class PieceModel:
         self.len[n : n + len(new)] = sizes
         self.at[n : n + len(new)] = self.count + np.cumsum([0, *sizes[:-1]])
         self.count += len(ids)
-        self.known.update(zip(hashes, range(n, n + len(new)), strict=True))
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's offset; null and empty: none.
@@ -240,20 +239,13 @@ class PieceModel:
         head[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
         starts = np.flatnonzero(head)
         lengths = np.diff(np.append(starts, len(codes)))
-        hashes = hash_spans(points.view(np.uint8), starts * 4, lengths * 4)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        new = np.ones(len(ordered), bool)
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        heads, distinct = order[new], ordered[new].tolist()
+        index, heads = distinct_spans(points.view(np.uint8), starts * 4, lengths * 4)
+        distinct = [joined[a : a + n] for a, n in zip(starts[heads].tolist(), lengths[heads].tolist(), strict=True)]
         if len(self.known) + len(distinct) > self.most:
             self._forget()
-        if missing := [i for i, h in enumerate(distinct) if h not in self.known]:
-            where = heads[missing]
-            self._learn([distinct[i] for i in missing], [joined[a : a + n] for a, n in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)])
-        word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        index = np.empty(len(hashes), np.int64)
-        index[order] = word[np.cumsum(new) - 1]
+        if missing := [t for t in distinct if t not in self.known]:
+            self._learn(missing)
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index]
         sizes = self.len[index]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return self.flat[spread(self.at[index], sizes)], total[np.searchsorted(starts, bounds)]

@@ -2,8 +2,8 @@
 
 BPE never crosses a pre-token, so a text's ids are its pre-tokens' ids in a row.
 Texts are lower-cased and cut into pre-tokens with numpy over whole batches; each
-distinct pre-token goes through the library once and is then remembered by a
-64-bit hash.  Texts with any character outside a plainly handled range (ASCII
+distinct pre-token goes through the library once and is then remembered under its own
+bytes (hashes only sort; what they call equal is compared).  Texts with any character outside a plainly handled range (ASCII
 without control characters, and two-byte Latin letters) and all texts for a
 tokenizer of another make go through the library whole.
 """
@@ -74,6 +74,51 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return h
 
 
+def equal_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the ranges of equal length at a and at b hold the same bytes."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    same, live, at = np.ones(len(a), bool), np.flatnonzero(lengths), 0
+    while len(live):
+        left = lengths[live] - at
+        x, y = (words[side[live] + at].copy().view("<u8")[:, 0] for side in (a, b))
+        short = np.maximum(0, 8 - left).astype(np.uint64) * np.uint64(8)
+        good = (x << short) == (y << short)
+        same[live[~good]] = False
+        at += 8
+        live = live[good & (left > 8)]
+    return same
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte range the number of its value, and for each value a range that has
+    it.  Exact: hashes only sort the ranges, and each is compared with the one it is
+    taken to equal.  (Among ranges of one length up to 8 bytes the hash is one to one.)
+    """
+    hashes = hash_spans(buf, starts, lengths)
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    np.not_equal(hashes[order[1:]], hashes[order[:-1]], out=new[1:])
+    index, heads = np.empty(len(order), np.int64), order[new]
+    index[order] = np.cumsum(new) - 1
+    like = heads[index]
+    wrong = lengths != lengths[like]
+    long = np.flatnonzero(~wrong & (lengths > 8) & (like != np.arange(len(like))))
+    wrong[long] = ~equal_spans(buf, starts[long], starts[like[long]], lengths[long])
+    odd = np.flatnonzero(wrong)
+    if len(odd):
+        numbers: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            key = buf[starts[i] : starts[i] + lengths[i]].tobytes()
+            if key not in numbers:
+                numbers[key] = len(heads) + len(more)
+                more.append(i)
+            index[i] = numbers[key]
+        heads = np.append(heads, more)
+    return index, heads
+
+
 def pretokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the pre-tokens of lower-cased bytes."""
     if not len(buf):
@@ -132,15 +177,15 @@ class Encoder:
         )
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.at = np.zeros(1 << 16, np.int64)
         self.len = np.zeros(1 << 16, np.int32)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 512):
-            part = words[i : i + 512]
+            part = [w.decode() for w in words[i : i + 512]]
             ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):  # not one end to each word: one by one
@@ -156,31 +201,19 @@ class Encoder:
             self.at[n : n + len(part)] = self.used + begins
             self.len[n : n + len(part)] = ends - begins
             self.used += len(ids)
-            self.known.update(zip(hashes[i : i + 512], range(n, n + len(part)), strict=True))
+            self.known.update(zip(words[i : i + 512], range(n, n + len(part)), strict=True))
 
     def _plain(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """buf: lower-cased texts, each with a line end; bounds: where they begin."""
         starts, lengths = pretokens(buf)
-        hashes = hash_spans(buf, starts, lengths)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        new = np.empty(len(ordered), bool)
-        new[:1] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        heads = order[new]
-        distinct = ordered[new].tolist()
+        index, heads = distinct_spans(buf, starts, lengths)
+        data = buf.tobytes()
+        distinct = [data[a : a + n] for a, n in zip(starts[heads].tolist(), lengths[heads].tolist(), strict=True)]
         if len(self.known) + len(distinct) > self.most and self.known:
             self._forget()
-        missing = [i for i, h in enumerate(distinct) if h not in self.known]
-        if missing:
-            where = heads[missing]
-            sizes = lengths[where] + 1
-            data = buf[np.minimum(spread(starts[where], sizes), len(buf) - 1)]
-            data[np.cumsum(sizes) - 1] = 32
-            self._learn([distinct[i] for i in missing], data.tobytes().decode().split())
-        word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        index = np.empty(len(hashes), np.int64)
-        index[order] = word[np.cumsum(new) - 1]
+        if missing := [w for w in distinct if w not in self.known]:
+            self._learn(missing)
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index]
         sizes = self.len[index].astype(np.int64)
         ids = self.ids[spread(self.at[index], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
