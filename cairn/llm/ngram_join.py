@@ -1,42 +1,46 @@
 """Jaccard similarity join on word shingles with parity sketches.
 
-A document's set is its distinct hashed shingles.  For each band of set sizes the hash
-range is cut into parts, more of them than two linked sets of the band can differ in,
-and each part is sketched by XOR: a word of one-bit parities (whose Hamming distance
-never exceeds the symmetric difference) and the XOR of the hashes themselves.  Each
-differing shingle spoils one part at most, so linked sets agree in a part (pigeonhole)
-and meet under its key.  Sets that meet are verified exactly; equal sets are one class
-throughout.  In each group of classes that share a key a star is verified first: all
-members against the one that shares most keys.  Groups that are then not yet connected
-are compared in blocks of members, within a task, where bit sketches and the triangle
-inequality leave out nearly all that isn't linked; only links leave the task, so no list
-of pairs is ever made and no link that would join two components is lost.
+A document's set is its distinct shingles, each known by 128 bits that come from
+cryptographic digests of its words.  For each band of set sizes the hash range is cut
+into parts, more of them than two linked sets of the band can differ in, and each part
+is sketched by XOR: a word of one-bit parities (whose Hamming distance never exceeds the
+symmetric difference) and the XOR of the hashes themselves.  Each differing shingle
+spoils one part at most, so linked sets agree in a part (pigeonhole) and meet under its
+key.  Sets that meet are verified on all 128 bits; equal sets are one class throughout.
+In each group of classes that share a key a star is verified first: all members against
+the one that shares most keys.  Groups that are then not yet connected are compared in
+blocks of members, where bit sketches and the triangle inequality leave out nearly all
+that isn't linked; what is shuffled for it are places of blocks, and only links leave a
+task, so no list of pairs of members is ever made and no link that would join two
+components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, own_columns, shared_dir, slices, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, flat, lean, lean_group, own_columns, shared_dir, slices, stage, text_bytes
 from cairn.llm.skew import join_groups
-from cairn.llm.wordbpe import hash_spans
+from cairn.llm.wordbpe import distinct_spans
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BAND_GROWTH = 1.25
 #: Odds that a set has so many empty parts that their keys are needed too.
 EMPTY_ODDS = 1e-7
 BITMAP_LOW, BITMAP_HIGH = 16, 28
+#: Edges that one task contracts before rounds over all of them.
 EDGES_PER_TASK = 500_000
-#: Members of a group are compared in blocks of this many.
-MEMBERS = 64
+#: Members of a group are compared in blocks of about this many.
+MEMBERS = 48
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -53,9 +57,17 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
 
+def word_lanes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic digest for each word, in two rows."""
+    index, heads = distinct_spans(buf, starts, lengths)
+    data = buf.tobytes()
+    digests = b"".join([hashlib.blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(starts[heads].tolist(), lengths[heads].tolist(), strict=True)])
+    return np.frombuffer(digests, "<u8").reshape(-1, 2).T[:, index]
+
+
 def shingles(buf: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word shingles (repeats too) and where each text's begin.  A text
-    of 1 to n-1 words has one of all its words; one without words has none."""
+    """128 bits, in two rows, of all n-word shingles (repeats too) and where each text's
+    begin.  A text of 1 to n-1 words has one of all its words; one without words none."""
     rows = len(bounds) - 1
     sizes = np.diff(bounds) + 1
     padded = np.full(len(buf) + rows, 32, np.uint8)
@@ -66,26 +78,50 @@ def shingles(buf: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     word = ~SPACE[padded]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=np.int8(0)))
     starts, stops = edge[::2], edge[1::2]
-    h = hash_spans(padded, starts, stops - starts)
+    h = word_lanes(padded, starts, stops - starts)
     first = np.searchsorted(starts, ends - sizes)
     count = np.diff(np.append(first, len(starts)))
     out = h.copy()
-    usable = len(h) - n + 1
+    usable = h.shape[1] - n + 1
     if usable > 0:
-        s = np.full(usable, n, np.uint64)
+        s = np.full((2, usable), n, np.uint64)
         for k in range(n):
-            s = mix(s * MIX_A + h[k : k + usable])
-        out[:usable] = s
+            s = mix(s * MIX_A + h[:, k : k + usable])
+        out[:, :usable] = s
     full = count >= n
     number = np.where(full, count - n + 1, np.minimum(count, 1))
     for i in np.flatnonzero((count > 0) & ~full):
-        s = np.array([count[i]], np.uint64)
+        s = np.full((2, 1), count[i], np.uint64)
         for k in range(count[i]):
-            s = mix(s * MIX_A + h[first[i] + k : first[i] + k + 1])
-        out[first[i]] = s[0]
+            s = mix(s * MIX_A + h[:, first[i] + k : first[i] + k + 1])
+        out[:, first[i]] = s[:, 0]
     begin = np.cumsum(number) - number
     where = np.arange(int(number.sum())) + np.repeat(first - begin, number)
-    return out[where], np.append(begin, number.sum())
+    return out[:, where], np.append(begin, number.sum())
+
+
+def as_set(lanes: np.ndarray) -> np.ndarray:
+    """Distinct columns, sorted by the first row, then by the second."""
+    lanes = lanes[:, np.argsort(lanes[0], kind="stable")]
+    twin = lanes[0, 1:] == lanes[0, :-1]
+    if not twin.any():
+        return lanes
+    if (lanes[1, 1:] != lanes[1, :-1])[twin].any():  # equal in the first row alone
+        lanes = lanes[:, np.lexsort((lanes[1], lanes[0]))]
+    new = np.append(True, (lanes[:, 1:] != lanes[:, :-1]).any(axis=0))
+    return lanes[:, new]
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sets of 128-bit members."""
+    if a.shape[1] > b.shape[1]:
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), b.shape[1] - 1)
+    half = b[0][at] == a[0]
+    both = half & (b[1][at] == a[1])
+    if half.sum() != both.sum():  # equal in the first row alone
+        return len(set(zip(*a.tolist(), strict=True)) & set(zip(*b.tolist(), strict=True)))
+    return int(both.sum())
 
 
 def spare_parts(size: int, differ: int) -> int:
@@ -152,17 +188,17 @@ def part_keys(own: np.ndarray, band: int, parts: int, differ: int) -> np.ndarray
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
+    small, large = sorted((a.shape[1], b.shape[1]))
     if 100 * small < percent * large:
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    both = in_both(a, b)
+    return 100 * both >= percent * (small + large - both)
 
 
 def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """One row of one-bit parities per set; the Hamming distance of two rows is at most
     the symmetric difference of their sets."""
-    found = [np.packbits((np.bincount((own >> np.uint64(16)) & np.uint64(bits - 1), minlength=bits) & 1).astype(np.uint8)) for own in sets]
+    found = [np.packbits((np.bincount((own[0] >> np.uint64(16)) & np.uint64(bits - 1), minlength=bits) & 1).astype(np.uint8)) for own in sets]
     return np.array(found, np.uint8).reshape(len(sets), bits // 8).view(np.uint64)
 
 
@@ -172,7 +208,7 @@ def block_links(left: list[tuple], right: list[tuple], sets: dict, percent: int)
     out, are left out at once; the rest is compared exactly, and labels that a link has
     joined are not compared again."""
     a, b = [sets[m[0]] for m in left], [sets[m[0]] for m in right]
-    n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    n_a, n_b = np.array([x.shape[1] for x in a]), np.array([x.shape[1] for x in b])
     total = n_a[:, None] + n_b[None, :]
     bits = 1 << min(16, max(6, int(total.max() * 5 // 4).bit_length()))
     x, y = bit_sketches(a, bits), bit_sketches(b, bits)
@@ -225,15 +261,14 @@ def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component.
 
-    Edges are dealt evenly to tasks of at most EDGES_PER_TASK, each of which contracts
-    its own.  A node that several tasks saw ties their roots together; those ties are a
-    smaller graph over roots alone, solved in the same way.
+    Edges are dealt evenly to tasks of about EDGES_PER_TASK, each of which contracts its
+    own.  A node that several tasks saw ties their roots together.  Those ties, a smaller
+    graph over roots, go through rounds of joins by node until every root has its label:
+    each node hands its least neighbour to its larger neighbours, then to its smaller ones.
     """
     spark = edges.sparkSession
     edges = stage(edges.select("a", "b"), "edges")
-    tasks = -(-edges.count() // EDGES_PER_TASK)
-    if not tasks:
-        return spark.createDataFrame([], "node long, label long")
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -243,131 +278,156 @@ def components(edges: DataFrame) -> DataFrame:
         found = local_roots(a, b)
         yield pa.RecordBatch.from_pydict({"node": pa.array(found.keys(), pa.int64()), "label": pa.array(found.values(), pa.int64())})
 
-    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
-    roots = stage(dealt.mapInArrow(contract, "node long, label long"), "roots")
-    if tasks == 1:
+    roots = stage(edges.repartition(tasks).mapInArrow(lean(contract), "node long, label long"), "roots")
+    least = roots.groupBy("node").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    ties = join_groups(roots, least, "node", "seen", roots.count()).where("label <> least").select(F.col("label").alias("u"), F.col("least").alias("v")).distinct()
+    ties = stage(ties, "ties")
+    if not ties.head(1):
         return roots
-    ties = roots.groupBy("node").agg(F.min("label").alias("a"), F.collect_set("label").alias("all"))  # one label per task at most
-    ties = ties.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
-    further = components(ties).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    further = _stars(ties).select(F.col("u").alias("label"), F.col("v").alias("further"))
     whole = roots.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
     return stage(whole.groupBy("node").agg(F.min("label").alias("label")), "labels")
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """u, v: every node u but the least of its component, and that least node v."""
+
+    def hand_on(pairs: DataFrame, smaller: bool) -> DataFrame:
+        # v's neighbours u: all of them, or only those below v (and v itself)
+        rows = pairs if smaller else pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rows = rows.select(F.col("u").alias("v"), F.col("v").alias("u")) if smaller else rows
+        least = rows.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        least = stage(least, "least")
+        met = join_groups(rows, least, "v", "degree", rows.count())
+        handed = met.where("u > v" if not smaller else "u <> m").select("u", F.col("m").alias("v"))
+        own = least.where("m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return stage(handed.unionByName(own).where("u > v").distinct(), "stars")
+
+    def state(pairs: DataFrame):
+        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    pairs = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    before = None
+    while (now := state(pairs)) != before:
+        before = now
+        pairs = hand_on(hand_on(pairs, False), True)
+    return pairs
+
+
 # ---- the distributed steps -------------------------------------------------
 
 
-def _sets(table: pa.RecordBatch, n: int) -> Iterator[tuple[int | None, np.ndarray, int]]:
-    """doc_id, sorted set and class of each row of a batch."""
+def _sets(table: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
+    """Place in the batch, set, digest of the set, and text of each row."""
     buf, bounds = flat(table.column("text"))
-    ids = table.column("doc_id").to_pylist()
-    for i, j in slices(bounds, 4 << 20):
+    for i, j in slices(bounds, 2 << 20):
         hashes, at = shingles(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
         at = at.tolist()
         for k in range(j - i):
-            own = np.unique(hashes[at[k] : at[k + 1]])
-            yield ids[i + k], own, int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+            own = as_set(hashes[:, at[k] : at[k + 1]])
+            yield i + k, own, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), buf[bounds[i + k] : bounds[i + k + 1]].tobytes()
+
+
+DOC = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<i8"), ("print", "<i8"), ("name", "<i8"), ("digest", "V16"), ("text_id", "V16")])
+FOUND = "gid long, name long, row long, doc_id long, n long, print long, digest binary, text_id binary"
 
 
 def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows of two kinds, committed: (doc_id, n, class) of every document, and (gid,
-    class) of every group of two or more classes that share a key."""
+    """Rows of two kinds, committed: one of every document - row (a number of its own),
+    doc_id, n, print, digest of its set, name (64 bits of the digest), text_id - and (gid,
+    name) of every group of two or more names that share a key."""
     bits = max(4, int(np.ceil(np.log2(max(1, text_bytes(docs, "text") / BUCKET_BYTES)))))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         bands = Bands(percent)
-        turn = 0
+        turn, row = 0, TaskContext.get().partitionId() << 33
 
-        def message(rows: list, found: list[np.ndarray], owner: list[tuple[int, int]]) -> pa.RecordBatch:
+        def message(rows: list[tuple], found: list[np.ndarray], owner: list[tuple[int, int]]) -> pa.RecordBatch:
             nonlocal turn
             turn += 1
-            out = {"bucket": [], "docs": [], "keys": []}
-            ids = [0 if r[0] is None else r[0] for r in rows]
-            null = np.array([r[0] is None for r in rows], np.uint8)
-            blob = [np.array([len(rows)], "<i8").tobytes(), np.array(ids, "<i8").tobytes(), np.array([r[1] for r in rows], "<i8").tobytes(), np.array([r[2] for r in rows], "<i8").tobytes(), null.tobytes()]
-            out["bucket"].append(turn % (1 << bits))
-            out["docs"].append(b"".join(blob))
-            out["keys"].append(None)
+            out = [(turn % (1 << bits), np.array(rows, DOC).tobytes(), None, None)]
             if found:
                 key = np.concatenate(found)
-                cls = np.repeat(np.array([c for c, _ in owner], np.int64), [m for _, m in owner])
+                name = np.repeat(np.array([c for c, _ in owner], np.int64), [m for _, m in owner])
                 order = np.argsort(key)
-                key, cls = key[order], cls[order]
+                key, name = key[order], name[order]
                 at = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(at)).tolist():
-                    out["bucket"].append(b)
-                    out["docs"].append(None)
-                    out["keys"].append(key[at[b] : at[b + 1]].tobytes() + cls[at[b] : at[b + 1]].tobytes())
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "docs": pa.array(out["docs"], pa.binary()), "keys": pa.array(out["keys"], pa.binary())})
+                out += [(b, None, key[at[b] : at[b + 1]].tobytes(), name[at[b] : at[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(at)).tolist()]
+            columns = zip(("bucket", "docs", "keys", "names"), zip(*out, strict=True), strict=True)
+            return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in columns})
 
         rows, found, owner, held = [], [], [], 0
         for batch in batches:
-            for doc_id, own, cls in _sets(batch, n):
-                rows.append((doc_id, len(own), cls))
-                if cls not in seen and len(own):
-                    if len(seen) > 500_000:
+            ids, prints = batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
+            for i, own, digest, text in _sets(batch, n):
+                size, name = own.shape[1], int.from_bytes(digest[:8], "little", signed=True)
+                rows.append((row, ids[i] or 0, ids[i] is None, size, prints[i], name, digest, hashlib.sha256(text).digest()[:16]))
+                row += 1
+                if size and digest not in seen:
+                    if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(cls)
-                    for band, parts, differ in bands.levels(len(own)):
-                        found.append(part_keys(own, band, parts, differ))
-                        owner.append((cls, len(found[-1])))
+                    seen.add(digest)
+                    for band, parts, differ in bands.levels(size):
+                        found.append(part_keys(own[0], band, parts, differ))
+                        owner.append((name, len(found[-1])))
                         held += len(found[-1])
-                if held >= 1 << 20 or len(rows) >= 20_000:
+                if held >= 1 << 19 or len(rows) >= 20_000:
                     yield message(rows, found, owner)
                     rows, found, owner, held = [], [], [], 0
         if rows:
             yield message(rows, found, owner)
 
     def groups(table: pa.Table) -> pa.Table:
-        docs = [x for x in table.column("docs").to_pylist() if x is not None]
-        parts = [x for x in table.column("keys").to_pylist() if x is not None]
-        out = {"gid": [], "class": [], "doc_id": [], "n": []}
-        for blob in docs:
-            m = int(np.frombuffer(blob, "<i8", 1)[0])
-            ids, sizes, cls = (np.frombuffer(blob, "<i8", m, 8 + 8 * m * k) for k in range(3))
-            null = np.frombuffer(blob, "u1", m, 8 + 24 * m) == 1
-            out["gid"].append(pa.nulls(m, pa.int64()))
-            out["class"].append(pa.array(cls))
-            out["doc_id"].append(pa.array(ids, mask=null))
-            out["n"].append(pa.array(sizes))
-        if parts:
-            key = np.concatenate([np.frombuffer(x, "<u8", len(x) // 16) for x in parts])
-            cls = np.concatenate([np.frombuffer(x, "<i8", len(x) // 16, len(x) // 2) for x in parts])
-            order = np.argsort(key, kind="stable")
-            key, cls = key[order], cls[order]
-            same, twin = key[1:] == key[:-1], np.zeros(len(key), bool)
-            twin[1:] |= same
-            twin[:-1] |= same
-            key, cls = key[twin], cls[twin]
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))[: len(key)]
-            key, cls = key[new], cls[new]
-            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            if len(heads):
-                sizes = np.diff(np.append(heads, len(key)))
-                member = mix(cls.view(np.uint64) * MIX_A + np.uint64(1))
-                gid = (np.add.reduceat(member, heads) ^ mix(sizes.astype(np.uint64))).view(np.int64)
-                _, one = np.unique(gid, return_index=True)
-                one = one[sizes[one] > 1]
-                keep = np.zeros(len(heads), bool)
-                keep[one] = True
-                rows = np.repeat(keep, sizes)
-                m = int(rows.sum())
-                out["gid"].append(pa.array(np.repeat(gid, sizes)[rows]))
-                out["class"].append(pa.array(cls[rows]))
-                out["doc_id"].append(pa.nulls(m, pa.int64()))
-                out["n"].append(pa.nulls(m, pa.int64()))
-        return pa.table({k: pa.chunked_array(v, pa.int64()) for k, v in out.items()})
-
-    rows = docs.mapInArrow(keys, "bucket int, docs binary, keys binary")
-    return stage(rows.groupBy("bucket").applyInArrow(groups, "gid long, class long, doc_id long, n long"), "candidates")
-
-
-def _bitmap(ids: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """One bit per hashed id, 8 KiB to 32 MiB whatever the data: it thins the second
-    scan out, and a join decides."""
+        own = np.frombuffer(flat(table.column("docs").drop_null())[0], DOC)
+        key, name = (flat(table.column(c).drop_null())[0] for c in ("keys", "names"))
+        key, name = key.view("<u8"), name.view("<i8")
+        order = np.argsort(key)
+        ordered = key[order]
+        same = ordered[1:] == ordered[:-1]
+        twin = np.zeros(len(order), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        key, name = ordered[twin], name[order[twin]]
+        del ordered, order
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))[: len(key)]
+        key, name = key[new], name[new]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        gid, rows = np.zeros(0, np.int64), np.zeros(0, bool)
+        if len(heads):
+            sizes = np.diff(np.append(heads, len(key)))
+            # groups with the same members, told apart by 128 bits, are one
+            one, two = (np.add.reduceat(mix(name.view(np.uint64) * by + np.uint64(1)), heads) ^ mix(sizes.astype(np.uint64)) for by in (MIX_A, MIX_B))
+            order = np.lexsort((two, one))
+            fresh = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
+            keep = np.zeros(len(heads), bool)
+            keep[order[fresh]] = True
+            keep &= sizes > 1
+            rows = np.repeat(keep, sizes)
+            gid = np.repeat(one.view(np.int64), sizes)[rows]
+        m, k = len(gid), len(own)
+        number = lambda c: pa.chunked_array([pa.array(own[c]), pa.nulls(m, pa.int64())])
+        fixed = lambda c: pa.chunked_array([pa.array(own[c].tolist(), pa.binary()), pa.nulls(m, pa.binary())])
+        return pa.table({
+            "gid": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(gid)]),
+            "name": pa.chunked_array([pa.array(own["name"]), pa.array(name[rows])]),
+            "row": number("row"),
+            "doc_id": pa.chunked_array([pa.array(own["doc_id"], mask=own["null"] == 1), pa.nulls(m, pa.int64())]),
+            "n": number("n"),
+            "print": number("print"),
+            "digest": fixed("digest"),
+            "text_id": fixed("text_id"),
+        })
+
+    rows = docs.mapInArrow(lean(keys), "bucket int, docs binary, keys binary, names binary")
+    return stage(rows.groupBy("bucket").applyInArrow(lean_group(groups), FOUND), "candidates")
+
+
+def _bitmap(prints: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """One bit per print, 8 KiB to 32 MiB whatever the data: it thins the second scan
+    out, and a join decides."""
     bits = min(BITMAP_HIGH, max(BITMAP_LOW, int(np.ceil(np.log2(16 * max(1, rows))))))
     chunk = 1 << min(bits, 20)
 
@@ -376,128 +436,168 @@ def _bitmap(ids: DataFrame, rows: int) -> tuple[np.ndarray, int]:
         bitmap[table.column("slot").to_numpy() % chunk] = True
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    found = ids.select(slot.alias("slot")).distinct().withColumn("chunk", F.expr(f"slot div {chunk}")).groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
+    slot = F.pmod("print", F.lit(1 << bits))
+    found = prints.select(slot.alias("slot")).distinct().withColumn("chunk", F.expr(f"slot div {chunk}")).groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in found.collect():
         whole[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
     return whole, bits
 
 
-def _store_sets(docs: DataFrame, wanted: DataFrame, rows: int, n: int, folder: str) -> DataFrame:
-    """class, file, at, size of the sets of the wanted (class, doc_id) rows."""
-    bitmap, bits = _bitmap(wanted, rows)
+def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, folder: str) -> DataFrame:
+    """class and set (file, at, size) of the wanted (class, digest, print)."""
+    bitmap, bits = _bitmap(wanted, wanted.count())
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
+            slot = batch.column("print").to_numpy() % (1 << bits)
             batch = batch.filter(pa.array((held.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
-            rows = {"doc_id": [], "class": [], "file": [], "at": [], "size": []}
-            for doc_id, own, cls in _sets(batch, n):
+            rows = {"digest": [], "print": [], "file": [], "at": [], "size": []}
+            prints = batch.column("print").to_pylist()
+            for i, own, digest, _ in _sets(batch, n):
                 out = out or BlobWriter(folder, ".set")
-                for k, v in zip(rows, (doc_id, cls, out.file, out.append(own.tobytes()), len(own) * 8), strict=True):
+                for k, v in zip(rows, (digest, prints[i], out.file, out.append(own.tobytes()), own.nbytes), strict=True):
                     rows[k].append(v)
             if rows["at"]:
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "file" else pa.int64()) for k, v in rows.items()})
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, {"file": pa.string(), "digest": pa.binary()}.get(k, pa.int64())) for k, v in rows.items()})
         if out is not None:
             out.close()
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    sets = stage(docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(write, "doc_id long, class long, file string, at long, size long"), "set-places")
-    return stage(sets.join(wanted.hint("merge"), ["class", "doc_id"], "left_semi").groupBy("class").agg(F.min(F.struct("file", "at", "size")).alias("set")), "sets")
+    sets = stage(docs.select("print", "text").mapInArrow(lean(write), "digest binary, print long, file string, at long, size long"), "set-places")
+    held.destroy()
+    # several rows with one print are copies of one text under one id
+    return stage(sets.join(wanted.hint("merge"), ["digest", "print"]).groupBy("class").agg(F.min(F.struct("file", "at", "size")).alias("set")), "sets")
 
 
-VERIFIED = "a long, b long, linked boolean, differ long, n_a long, n_b long"
+def _load(reader: BlobReader, place: dict) -> np.ndarray:
+    return np.frombuffer(reader.get(place["file"], place["at"], place["size"]), "<u8").reshape(2, -1)
+
+
+VERIFIED = "a long, b long, linked boolean, differ long"
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes, whether they are linked, the size of their symmetric
-    difference, and their sizes."""
+    """The pairs (a, b) of classes, whether they are linked, and the size of their
+    symmetric difference.  Many pairs may share a; a class is b once."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = BlobReader(folder, 64 << 20)
+        reader = BlobReader(folder, 32 << 20)
         for batch in batches:
-            found = []
+            linked, differ = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = (np.frombuffer(reader.get(v["file"], v["at"], v["size"]), "<u8") for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                found.append((100 * both >= percent * (len(a) + len(b) - both), len(a) + len(b) - 2 * both, len(a), len(b)))
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            arrays = [batch.column("a"), batch.column("b"), pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.int64()) for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in VERIFIED.split(", ")])
+                a, b = _load(reader, x), _load(reader, y)
+                both, total = in_both(a, b), a.shape[1] + b.shape[1]
+                linked.append(100 * both >= percent * (total - both))
+                differ.append(total - 2 * both)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_()), "differ": pa.array(differ, pa.int64())})
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rays")).join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    placed = join_groups(pairs, stage(stars, "star-sets"), "a", "rays", pairs.count()).join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     placed = placed.select("a", "b", "x", "y").repartition(parts).sortWithinPartitions("x", "y")
-    return stage(placed.mapInArrow(check, VERIFIED), "verified")
+    return stage(placed.mapInArrow(lean(check), VERIFIED), "verified")
+
 
+def _verify_blocks(members: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among all members (gid, size, class, label,
+    star, far) of each group.  A group's members are dealt to blocks by a hash and every
+    two blocks meet; a row of the join holds where the two blocks are, no members."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.greatest(F.lit(1), F.expr(f"(size + {MEMBERS - 1}) div {MEMBERS}"))
+    dealt = members.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    dealt = dealt.join(sets.hint("merge"), "class").groupBy("gid", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("class", "label", "star", "far", "set")).alias("members"))
 
-def _verify_blocks(named: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Links (a, b) that join components, among all members of each group."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            places = []
+            for rows in batch.column("members").to_pylist():
+                out = out or BlobWriter(folder, ".blocks")
+                blob = pickle.dumps([(m["class"], m["label"], m["star"] or 0, -1 if m["star"] is None else m["far"], m["set"]) for m in rows])
+                places.append({"file": out.file, "at": out.append(blob), "size": len(blob)})
+            yield pa.RecordBatch.from_pydict({"gid": batch.column("gid"), "block": batch.column("block"), "blocks": batch.column("blocks"), "place": pa.array(places, PLACE)})
+        if out is not None:
+            out.close()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = BlobReader(folder, 48 << 20)
+        reader, blocks = BlobReader(folder, 32 << 20), BlobReader(folder, 8 << 20)
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                own = {m["class"]: np.frombuffer(reader.get(m["set"]["file"], m["set"]["at"], m["set"]["size"]), "<u8") for m in [*left, *right]}
-                rows = [[(m["class"], m["label"], m["star"] or 0, -1 if m["star"] is None else m["far"]) for m in block] for block in (left, right)]
-                links += block_links(*rows, own, percent)
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                left, right = (pickle.loads(blocks.get(p["file"], p["at"], p["size"])) for p in (x, y))
+                if len({m[1] for m in left} | {m[1] for m in right}) > 1:
+                    links += block_links(left, right, {m[0]: _load(reader, m[4]) for m in [*left, *right]}, percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    ranked = named.join(sets, "class").withColumn("block", F.expr(f"(row_number() OVER (PARTITION BY gid ORDER BY weight DESC, class) - 1) div {MEMBERS}"))
-    blocks = stage(ranked.groupBy("gid", "block").agg(F.collect_list(F.struct("class", "label", "star", "far", "set")).alias("members")), "blocks")
-    other = blocks.select("gid", F.col("block").alias("other"), F.col("members").alias("right"))
-    pairs = blocks.withColumnRenamed("members", "left").join(other, "gid").where("block <= other").select("left", "right")
-    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(pairs.repartition(parts).mapInArrow(check, "a long, b long").distinct(), "links")
+    schema = "gid long, block long, blocks long, place struct<file:string,at:long,size:long>"
+    blocks = stage(dealt.select("gid", "block", "blocks", "members").mapInArrow(lean(write), schema), "blocks")
+    left = blocks.select("gid", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("place").alias("x"))
+    pairs = left.join(blocks.select("gid", F.col("block").alias("other"), F.col("place").alias("y")).hint("merge"), ["gid", "other"])
+    pairs = pairs.repartition(parts, "gid", "other").sortWithinPartitions("gid", "other").select("x", "y")
+    return stage(pairs.mapInArrow(lean(check), "a long, b long").distinct(), "links")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PLACE = pa.struct([("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+
+def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (the smallest id reachable by
     links, its own included).
 
     Sets are linked when 100 * intersection >= percent * union.  A-Z count as a-z and
     words end at ASCII white space.  Null and wordless texts have empty sets and no
     links.  Rows that repeat an id are judged each by its own text.  Null ids give way to
-    any other of their component; a set that only null ids have is linked with equal
-    ones alone.  An empty table gives an empty result; other columns are
-    ignored.
+    any other of their component, and a component of null ids alone has a null one.  An
+    empty table gives an empty result; other columns are ignored.
+
+    ``with_rows`` adds text_id (the first 16 bytes of the text's SHA-256) and stays, true
+    for one row of each component (of the smallest id) and for rows with empty sets.
     """
     spark = docs.sparkSession
-    docs = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("print", F.xxhash64("doc_id", "text"))
     found = _candidates(docs, words, percent)
-    rows = found.where("gid IS NULL").select("doc_id", "n", "class")
-    groups = stage(found.where("gid IS NOT NULL").select("gid", "class").distinct(), "groups")
-    classes = stage(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    wanted = stage(classes.join(groups.select("class").distinct().hint("merge"), "class", "left_semi").select("class", F.col("least").alias("doc_id")).where("doc_id IS NOT NULL"), "wanted")
-    number = wanted.count()
+    rows = found.where("row IS NOT NULL").drop("gid")
+    first_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = stage(rows.where("n > 0").groupBy("digest", "name").agg(F.min("row").alias("class"), F.min(first_of).alias("least"), F.min("print").alias("print"), F.count(F.lit(1)).alias("copies")), "classes")
+    # two sets with one name are both members of its groups, and form a group of their own
+    shared = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("name").alias("gid"), "name")
+    groups = found.where("gid IS NOT NULL").select("gid", "name").unionByName(shared).distinct()
+    groups = stage(groups.join(classes.select("name", "class").hint("merge"), "name").select("gid", "class").distinct(), "groups")
+    number = groups.count()
     labels = None
     if number:
         folder = shared_dir(spark, "sets")
-        sets = _store_sets(docs, wanted, number, words, folder)
+        wanted = stage(classes.join(groups.select("class").distinct().hint("merge"), "class", "left_semi").select("class", "digest", "print"), "wanted")
+        sets = _store_sets(docs, wanted, words, folder)
         # the member that shares most keys is likely the text the others are copies of
-        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-        weight = groups.join(sizes, "gid").groupBy("class").agg(F.sum("size").alias("weight"))
-        groups = stage(groups.join(weight, "class"), "groups")
-        stars = groups.groupBy("gid").agg(F.max(F.struct("weight", "class")).alias("a"))
-        first = groups.join(stars, "gid").where(F.col("class") != F.col("a.class")).groupBy(F.col("class").alias("b")).agg(F.max("a").alias("a"))
-        tested = _verify(first.select("a.class", "b").toDF("a", "b"), sets, folder, percent)
+        sizes = stage(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        groups = stage(join_groups(groups, sizes, "gid", "size", number), "sized")
+        weight = groups.groupBy("class").agg(F.sum("size").alias("weight"))
+        heavy = groups.join(weight.hint("merge"), "class")
+        stars = stage(heavy.groupBy("gid", "size").agg(F.max(F.struct("weight", "class")).alias("a")), "stars")
+        first = join_groups(groups, stars.drop("size").withColumnRenamed("a", "star").join(sizes.withColumnRenamed("size", "many"), "gid"), "gid", "many", number)
+        first = first.where(F.col("class") != F.col("star.class")).groupBy(F.col("class").alias("b")).agg(F.max("star").alias("a"))
+        tested = _verify(stage(first.select("a.class", "b").toDF("a", "b"), "rays"), sets, folder, percent)
         edges = tested.where("linked").select("a", "b")
         labels = components(edges)
         # each class with its star and how far it is from it: two classes of one star
         # differ at least by the difference of their distances (triangle inequality)
-        stars = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"))
-        named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        split = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-        named = stage(named.join(split, "gid", "left_semi").join(stars, "class", "left"), "open")
-        labels = components(edges.union(_verify_blocks(named, sets, folder, percent)))
-    named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    named = stage(named.select("class", "least", "copies", (F.lit(None).cast("long") if labels is None else F.col("label")).alias("label")).withColumn("label", F.coalesce("label", "class")), "named")
-    whole = stage(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
-    owned = stage(join_groups(named, whole, "label", "members", named.count()).select("class", "copies", "component_id"), "owned")
-    filled = join_groups(rows.where("n > 0"), owned, "class", "copies", rows.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return filled.unionByName(empty)
+        rays = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"))
+        members = groups.join(labels.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        members = stage(members, "members")
+        split = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("gid", "many")
+        members = join_groups(members, stage(split, "split"), "gid", "many", number).drop("many").join(rays.hint("merge"), "class", "left")
+        labels = components(edges.union(_verify_blocks(stage(members, "open"), sets, folder, percent)))
+    named = classes.withColumn("label", F.col("class"))
+    if labels is not None:
+        named = classes.join(labels.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = stage(named.select("class", "digest", "least", "copies", "label"), "named")
+    whole = stage(named.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "components")
+    owned = stage(join_groups(named.drop("least"), whole, "label", "members", named.count()).select("digest", "copies", "first"), "owned")
+    filled = join_groups(rows.where("n > 0"), owned, "digest", "copies", rows.count())
+    filled = filled.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "text_id", (F.col("row") == F.col("first.row")).alias("stays"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_id", F.lit(True).alias("stays"))
+    out = filled.unionByName(empty)
+    return out if with_rows else out.drop("text_id", "stays")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, ngram_join, suffix_dedup
+from cairn.llm import exact_dedup, ngram_join, suffix_dedup, wordbpe
 
 SCHEMA = "doc_id long, text string, digest string, keep_id long, block string, gid long"
 
@@ -189,36 +189,83 @@ def test_links_empty(spark):
     assert [tuple(r) for r in ngram_join.link(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]
 
 
+def lanes(rng, n):
+    return rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
     for percent in (80, 85):
         bands = ngram_join.Bands(percent)
         for _ in range(300):
             n = int(rng.integers(2, 400))
-            both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            both = lanes(rng, n)
             extra = int(n * (100 - percent) / percent)
             k = int(rng.integers(0, extra + 1))
-            a = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, k, dtype=np.uint64)]))
-            b = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, extra - k, dtype=np.uint64)]))
+            a, b = (ngram_join.as_set(np.concatenate([both, lanes(rng, m)], axis=1)) for m in (k, extra - k))
             if not ngram_join.similar(a, b, percent) or np.array_equal(a, b):
                 continue
-            keys = [set(np.concatenate([ngram_join.part_keys(x, *lv) for lv in bands.levels(len(x))]).tolist()) for x in (a, b)]
+            keys = [set(np.concatenate([ngram_join.part_keys(x[0], *lv) for lv in bands.levels(x.shape[1])]).tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
 
 
 def test_hamming_distance_is_a_lower_bound():
     rng = np.random.default_rng(4)
-    a, b = (np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(2))
-    b = np.unique(np.concatenate([a[:400], b[:60]]))
+    a, b = (ngram_join.as_set(lanes(rng, 500)) for _ in range(2))
+    b = ngram_join.as_set(np.concatenate([a[:, :400], b[:, :60]], axis=1))
     words = np.zeros((2, 40), np.uint64)
     for row, own in zip(words, (a, b), strict=True):
-        where, parity, _ = ngram_join.sketch(own, 3, 40)
+        where, parity, _ = ngram_join.sketch(own[0], 3, 40)
         row[where.astype(int)] = parity
-    distance = int(np.bitwise_count(words[0] ^ words[1]).sum())
-    assert 0 < distance <= len(np.setxor1d(a, b))
+    distance, differ = int(np.bitwise_count(words[0] ^ words[1]).sum()), a.shape[1] + b.shape[1] - 2 * ngram_join.in_both(a, b)
+    assert 0 < distance <= differ == len(np.setxor1d(a[0], b[0]))
     for bits in (64, 512, 4096):
         x, y = ngram_join.bit_sketches([a, b], bits)
-        assert 0 < int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+        assert 0 < int(np.bitwise_count(x ^ y).sum()) <= differ
+
+
+def test_half_of_the_bits_is_not_enough():
+    a = np.array([[5, 5, 7, 7, 9], [2, 1, 3, 3, 4]], np.uint64)
+    b = np.array([[5, 7, 9], [3, 3, 8]], np.uint64)
+    assert ngram_join.as_set(a).tolist() == [[5, 5, 7, 9], [1, 2, 3, 4]]
+    assert ngram_join.in_both(ngram_join.as_set(a), b) == ngram_join.in_both(b, ngram_join.as_set(a)) == 1
+
+
+def test_words_of_one_hash(spark):
+    """Two words that the sorting hash can't tell apart are still two words."""
+    one, two = "qwertyuiasdfghjk", "vserzagennzspoph"
+    buf = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    h = wordbpe.hash_spans(buf, np.array([0, 17]), np.array([16, 16]))
+    assert h[0] == h[1] and len(wordbpe.distinct_spans(buf, np.array([0, 17]), np.array([16, 16]))[1]) == 2
+    rows = [(1, f"a b {one} d e"), (2, f"a b {two} d e"), (3, one), (4, two)]
+    found = ngram_join.link(frame(spark, rows), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " x"), (7, text + " y"), (7, "other words here"), (7, text + " y"), (None, "lonely text only"), (None, "lonely text only"), (None, ""), (None, "")]
+    found = ngram_join.link(frame(spark, rows), 4, 85, with_rows=True).collect()
+    by_text = defaultdict(set)
+    for r in found:
+        by_text[r["text_id"]].add((r["doc_id"], r["component_id"]))
+    key = lambda t: hashlib.sha256(t.encode()).digest()[:16]
+    assert by_text[key(text)] == by_text[key(text + " x")] == {(None, 7)} and by_text[key("lonely text only")] == {(None, None)}
+    stays = [r["text_id"] for r in found if r["stays"]]
+    assert sorted(map(bytes, stays)) == sorted(map(key, [text + " y", "other words here", "lonely text only", "", ""]))
+
+
+def test_one_group_of_many(spark):
+    """Thousands of near copies of one text, hubs and outliers in one group."""
+    rng = random.Random(9)
+    base = words(rng, 80, 10**6)
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(frame(spark, rows), 4, 85).collect()) == brute_links(rows, 4, 85)
 
 
 @pytest.mark.parametrize("most", [500_000, 5])
@@ -229,4 +276,6 @@ def test_components(spark, most, monkeypatch):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     found = {r["node"]: r["label"] for r in ngram_join.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    hub = spark.createDataFrame([(0 if i % 3 else i - 1, i) for i in range(1, 300)] + [(900, 800)], "a long, b long")
+    assert {r["node"]: r["label"] for r in ngram_join.components(hub).collect()} == dict.fromkeys(range(300), 0) | {800: 800, 900: 800}
     assert ngram_join.components(edges.where(F.lit(False))).count() == 0
