@@ -1,7 +1,7 @@
 """Jaccard similarity join on word shingles with parity sketches.
 
-A document's set is its distinct shingles, each known by 128 bits that come from
-cryptographic digests of its words.  For each band of set sizes the hash range is cut
+A document's set is its distinct shingles, each known by 128 bits that come from keyed
+hashes of its words.  For each band of set sizes the hash range is cut
 into parts, more of them than two linked sets of the band can differ in, and each part
 is sketched by XOR: a word of one-bit parities (whose Hamming distance never exceeds the
 symmetric difference) and the XOR of the hashes themselves.  Each differing shingle
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import pickle
 from collections.abc import Iterator
 
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import BlobReader, BlobWriter, flat, lean, lean_group, own_columns, shared_dir, slices, stage, text_bytes
 from cairn.llm.skew import join_groups
-from cairn.llm.wordbpe import distinct_spans
 
 BUCKET_BYTES = 8 << 20
 BAND_GROWTH = 1.25
@@ -57,15 +57,69 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
 
-def word_lanes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """128 bits of a cryptographic digest for each word, in two rows."""
-    index, heads = distinct_spans(buf, starts, lengths)
-    data = buf.tobytes()
-    digests = b"".join([hashlib.blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(starts[heads].tolist(), lengths[heads].tolist(), strict=True)])
-    return np.frombuffer(digests, "<u8").reshape(-1, 2).T[:, index]
-
-
-def shingles(buf: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _rotated(x: np.ndarray, bits: int) -> None:
+    low = x >> np.uint64(64 - bits)
+    x <<= np.uint64(bits)
+    x |= low
+
+
+def _sip_rounds(v: list[np.ndarray], rounds: int) -> None:
+    a, b, c, d = v
+    for _ in range(rounds):
+        a += b
+        c += d
+        _rotated(b, 13)
+        _rotated(d, 16)
+        b ^= a
+        d ^= c
+        _rotated(a, 32)
+        c += b
+        a += d
+        _rotated(b, 17)
+        _rotated(d, 21)
+        b ^= c
+        d ^= a
+        _rotated(c, 32)
+
+
+def word_lanes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: bytes) -> np.ndarray:
+    """128-bit SipHash-2-4 of each word, in two rows; of words past 256 bytes a keyed
+    BLAKE2b.  The key is secret and new in each run, so no words can be made to collide."""
+    out = np.empty((2, len(starts)), np.uint64)
+    k0, k1 = np.frombuffer(key, "<u8")
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    short = np.flatnonzero(lengths <= 256)
+    for i in range(0, len(short), 1 << 15):  # so that the states stay in the cache
+        own = short[i : i + (1 << 15)]
+        own = own[np.argsort(-(lengths[own] >> 3), kind="stable")]  # who is still at work comes first
+        size, begin = lengths[own], starts[own]
+        v = [np.full(len(own), x, np.uint64) for x in (k0 ^ np.uint64(0x736F6D6570736575), k1 ^ np.uint64(0x646F72616E646F6D ^ 0xEE), k0 ^ np.uint64(0x6C7967656E657261), k1 ^ np.uint64(0x7465646279746573))]
+        for at in range(0, int(size[0] >> 3) * 8 + 8, 8):
+            live = int(np.searchsorted(-(size >> 3), -(at >> 3), "right"))
+            left = size[:live] - at
+            chunk = words[begin[:live] + at].copy().view("<u8")[:, 0]
+            last = left < 8
+            drop = np.where(last, 8 - left, 0).astype(np.uint64) * np.uint64(8)
+            chunk = np.where(drop == 64, np.uint64(0), (chunk << (drop & np.uint64(63))) >> (drop & np.uint64(63)))
+            chunk |= np.where(last, size[:live].astype(np.uint64) << np.uint64(56), np.uint64(0))
+            state = [x[:live] for x in v]
+            state[3] ^= chunk
+            _sip_rounds(state, 2)
+            state[0] ^= chunk
+        v[2] ^= np.uint64(0xEE)
+        _sip_rounds(v, 4)
+        out[0, own] = v[0] ^ v[1] ^ v[2] ^ v[3]
+        v[1] ^= np.uint64(0xDD)
+        _sip_rounds(v, 4)
+        out[1, own] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    for i in np.flatnonzero(lengths > 256).tolist():
+        word = buf[starts[i] : starts[i] + lengths[i]].tobytes()
+        out[:, i] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=key).digest(), "<u8")
+    return out
+
+
+def shingles(buf: np.ndarray, bounds: np.ndarray, n: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """128 bits, in two rows, of all n-word shingles (repeats too) and where each text's
     begin.  A text of 1 to n-1 words has one of all its words; one without words none."""
     rows = len(bounds) - 1
@@ -78,7 +132,7 @@ def shingles(buf: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     word = ~SPACE[padded]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=np.int8(0)))
     starts, stops = edge[::2], edge[1::2]
-    h = word_lanes(padded, starts, stops - starts)
+    h = word_lanes(padded, starts, stops - starts, key)
     first = np.searchsorted(starts, ends - sizes)
     count = np.diff(np.append(first, len(starts)))
     out = h.copy()
@@ -317,11 +371,11 @@ def _stars(edges: DataFrame) -> DataFrame:
 # ---- the distributed steps -------------------------------------------------
 
 
-def _sets(table: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
+def _sets(table: pa.RecordBatch, n: int, secret: bytes) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
     """Place in the batch, set, digest of the set, and text of each row."""
     buf, bounds = flat(table.column("text"))
     for i, j in slices(bounds, 2 << 20):
-        hashes, at = shingles(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
+        hashes, at = shingles(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n, secret)
         at = at.tolist()
         for k in range(j - i):
             own = as_set(hashes[:, at[k] : at[k + 1]])
@@ -332,7 +386,7 @@ DOC = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<i8"),
 FOUND = "gid long, name long, row long, doc_id long, n long, print long, digest binary, text_id binary"
 
 
-def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _candidates(docs: DataFrame, n: int, percent: int, secret: bytes) -> DataFrame:
     """Rows of two kinds, committed: one of every document - row (a number of its own),
     doc_id, n, print, digest of its set, name (64 bits of the digest), text_id - and (gid,
     name) of every group of two or more names that share a key."""
@@ -360,7 +414,7 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
         rows, found, owner, held = [], [], [], 0
         for batch in batches:
             ids, prints = batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
-            for i, own, digest, text in _sets(batch, n):
+            for i, own, digest, text in _sets(batch, n, secret):
                 size, name = own.shape[1], int.from_bytes(digest[:8], "little", signed=True)
                 rows.append((row, ids[i] or 0, ids[i] is None, size, prints[i], name, digest, hashlib.sha256(text).digest()[:16]))
                 row += 1
@@ -444,7 +498,7 @@ def _bitmap(prints: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return whole, bits
 
 
-def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, folder: str) -> DataFrame:
+def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, secret: bytes, folder: str) -> DataFrame:
     """class and set (file, at, size) of the wanted (class, digest, print)."""
     bitmap, bits = _bitmap(wanted, wanted.count())
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -456,7 +510,7 @@ def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, folder: str) -> Data
             batch = batch.filter(pa.array((held.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
             rows = {"digest": [], "print": [], "file": [], "at": [], "size": []}
             prints = batch.column("print").to_pylist()
-            for i, own, digest, _ in _sets(batch, n):
+            for i, own, digest, _ in _sets(batch, n, secret):
                 out = out or BlobWriter(folder, ".set")
                 for k, v in zip(rows, (digest, prints[i], out.file, out.append(own.tobytes()), own.nbytes), strict=True):
                     rows[k].append(v)
@@ -535,7 +589,7 @@ def _verify_blocks(members: DataFrame, sets: DataFrame, folder: str, percent: in
     blocks = stage(dealt.select("gid", "block", "blocks", "members").mapInArrow(lean(write), schema), "blocks")
     left = blocks.select("gid", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("place").alias("x"))
     pairs = left.join(blocks.select("gid", F.col("block").alias("other"), F.col("place").alias("y")).hint("merge"), ["gid", "other"])
-    pairs = pairs.repartition(parts, "gid", "other").sortWithinPartitions("gid", "other").select("x", "y")
+    pairs = pairs.repartition(parts, F.xxhash64("gid", "other")).sortWithinPartitions("gid", "other").select("x", "y")
     return stage(pairs.mapInArrow(lean(check), "a long, b long").distinct(), "links")
 
 
@@ -557,7 +611,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     """
     spark = docs.sparkSession
     docs = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("print", F.xxhash64("doc_id", "text"))
-    found = _candidates(docs, words, percent)
+    secret = os.urandom(16)
+    found = _candidates(docs, words, percent, secret)
     rows = found.where("row IS NOT NULL").drop("gid")
     first_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = stage(rows.where("n > 0").groupBy("digest", "name").agg(F.min("row").alias("class"), F.min(first_of).alias("least"), F.min("print").alias("print"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -570,7 +625,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     if number:
         folder = shared_dir(spark, "sets")
         wanted = stage(classes.join(groups.select("class").distinct().hint("merge"), "class", "left_semi").select("class", "digest", "print"), "wanted")
-        sets = _store_sets(docs, wanted, words, folder)
+        sets = _store_sets(docs, wanted, words, secret, folder)
         # the member that shares most keys is likely the text the others are copies of
         sizes = stage(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
         groups = stage(join_groups(groups, sizes, "gid", "size", number), "sized")

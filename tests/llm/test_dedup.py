@@ -231,6 +231,17 @@ def test_half_of_the_bits_is_not_enough():
     assert ngram_join.in_both(ngram_join.as_set(a), b) == ngram_join.in_both(b, ngram_join.as_set(a)) == 1
 
 
+def test_word_hashes():
+    """The published 128-bit value of SipHash-2-4 for the bytes 0 to 14, and any length."""
+    key = bytes(range(16))
+    lanes_of = lambda data, at, sizes: ngram_join.word_lanes(np.frombuffer(data, np.uint8), np.array(at), np.array(sizes), key).T
+    assert lanes_of(b"", [0], [0]).tobytes() == bytes.fromhex("a3817f04ba25a8e66df67214c7550293")
+    data = np.random.default_rng(0).bytes(4000)
+    at, sizes = [7 * i for i in range(300)], list(range(300))
+    each = [lanes_of(data[a : a + n], [0], [n]).tobytes() for a, n in zip(at, sizes, strict=True)]
+    assert lanes_of(data, at, sizes).tobytes() == b"".join(each) and len(set(each)) == 300
+
+
 def test_words_of_one_hash(spark):
     """Two words that the sorting hash can't tell apart are still two words."""
     one, two = "qwertyuiasdfghjk", "vserzagennzspoph"
