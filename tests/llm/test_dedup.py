@@ -97,9 +97,12 @@ def window_rows(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("size", [16, 50, 57])
-def test_windows(spark, size, monkeypatch):
+@pytest.mark.parametrize(("size", "hot"), [(16, 20_000), (50, 20_000), (50, 3), (57, 0)])
+def test_windows(spark, size, hot, monkeypatch):
+    """In blocks and chunks shorter than some texts; with and without second digits."""
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 250)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     rows = window_rows()
     found = suffix_dedup.remove_repeats(frame(spark, rows), size).collect()
     assert sorted((tuple(r) for r in found), key=str) == brute_windows(rows, size)
@@ -110,6 +113,18 @@ def test_windows_keep_characters(spark):
     assert {r["doc_id"]: r["kept"] for r in found.collect()} == {1: "é" * 60, 2: "xy", 3: "free text"}
 
 
+def test_long_text():
+    """A text of many chunks takes memory for one chunk and its runs."""
+    import tracemalloc
+
+    buf = np.random.default_rng(3).integers(97, 123, 24 << 20).astype(np.uint8)
+    tracemalloc.start()
+    _, starts, number = suffix_dedup.runs(buf, np.array([0]), np.array([len(buf)]), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert number.sum() == len(buf) - 49 and np.array_equal(starts[1:], (starts + number)[:-1]) and peak < 8 * len(buf)
+
+
 def test_windows_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
