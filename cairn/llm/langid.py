@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from cairn.llm.common import flat, own_columns, slices
+from cairn.llm.common import flat, fresh, lean, own_columns, slices
 
 GRAM = 4
 HASHES = 3
+#: Profiles are picked in so many parts before they are picked as a whole.
+PARTS = 16
 UNKNOWN = "und"
 
 #: Letters keep their (lower-case) byte, all else of ASCII turns to a space.
@@ -99,8 +102,11 @@ class Model:
         """Languages and scores: the share of n-grams that the language explains.
 
         Ties go to the language first in order; a text with letters but without any
-        n-gram of a profile gets the commonest language and score 0.
+        n-gram of a profile gets the commonest language and score 0.  A model that
+        learned no language knows none.
         """
+        if not self.languages:
+            return [UNKNOWN] * (len(bounds) - 1), np.zeros(len(bounds) - 1)
         found, n = self.counts(buf, bounds)
         best = np.argmax(found, axis=1)
         top = found[np.arange(len(n)), best]
@@ -121,12 +127,13 @@ def train(docs: DataFrame, per_language: int = 2000, profile: int = 6000, least:
     and text chooses them; fewer where there are fewer), the documented bound of the sample.
 
     A profile is a language's ``profile`` most frequent n-grams that occur ``least``
-    times.  Rows without language or text are left out.
+    times (of equally frequent ones the smallest).  Rows without language or text are
+    left out; where no row is left the model knows no language.
     """
     rows = own_columns(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model(["en"], bits, [np.zeros(1 << bits, np.uint8)], np.zeros(1), 0)
+        return Model([], bits, [], np.zeros(0), 0)
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
@@ -140,12 +147,16 @@ def train(docs: DataFrame, per_language: int = 2000, profile: int = 6000, least:
                 key, n = np.unique(gram | (np.repeat(codes[i:j], np.diff(at)) << np.uint64(32)), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"code": pa.array((key >> np.uint64(32)).astype(np.int32)), "gram": pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), "n": pa.array(n)})
 
-    # the rows collected here are bounded by the sample and by profile
-    table = chosen.select("text", "lang").mapInArrow(count, "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    found = chosen.select("text", "lang").mapInArrow(count, "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # the best of each part and then, of at most PARTS * profile rows per language, of each language
+    for part in ([F.pmod(F.xxhash64("gram"), F.lit(PARTS))], []):
+        order = Window.partitionBy("code", *part).orderBy(F.desc("n"), "gram")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile).drop("place")
+    table = found.toPandas()  # at most profile rows per language
     masks = [np.zeros(1 << bits, np.uint64) for _ in range(0, len(languages), 64)]
     fill = np.zeros(len(languages))
     for code in range(len(languages)):
-        own = table[table["code"] == code].sort_values(["n", "gram"], ascending=[False, True])[:profile]
+        own = table[table["code"] == code]
         where = np.unique(np.concatenate(slots(own["gram"].to_numpy(np.uint32), bits)))
         masks[code // 64][where] |= np.uint64(1 << (code % 64))
         fill[code] = len(where) / (1 << bits)
@@ -154,22 +165,24 @@ def train(docs: DataFrame, per_language: int = 2000, profile: int = 6000, least:
     return Model(languages, bits, masks, fill**HASHES, languages.index(max(sizes, key=lambda x: (sizes[x], x))))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and the kept columns for every row; null or letterless
-    text is ``und``.  Only the text decides."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The id, the kept columns, and language and score under ``named`` for every row;
+    null or letterless text is ``und``.  Only the text decides.  No rows give no rows."""
     names = [id_col, *(keep or [])]
+    if clash := {c.lower() for c in names} & {c.lower() for c in named}:
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, bounds = flat(batch.column(len(names)))
-            for i, j in slices(bounds, 2 << 20):
+            for i, j in slices(bounds, 1 << 20):
                 found, score = model.predict(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 own = [batch.column(k).slice(i, j - i) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in schema.fields])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(label, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(fresh(docs, "_text")))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())])
+    return rows.mapInArrow(lean(label), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import flat, own_columns, slices, stage
+from cairn.llm.common import flat, lean, own_columns, slices, stage
 
 #: Fixed values of the Matroska format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -29,7 +29,9 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
-MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CUES, CUE_POINT, CUE_TRACK_POSITIONS, CLUSTER, BLOCK_GROUP}
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+#: Elements that only a segment holds: they end a cluster of unknown size.
+TOP_LEVEL = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0, 1, 2, 3
 
 SAMPLE_RATE = 8000
@@ -197,19 +199,32 @@ class Movie:
 
 
 def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """Id, place, content's begin and end of each element; one of unknown size ends
-    with its parent."""
+    """Id, place, content's begin and end of each element.  A cluster of unknown size
+    ends at the next element that only a segment holds or with its parent, a segment of
+    unknown size at the next EBML header or with the data."""
     while at < end:
         begin = at
         number, at = read_id(data, at)
         size, at = read_vint(data, at)
-        stop = end if size is None else at + size
+        stop = at + size if size is not None else _open_end(data, at, end, {SEGMENT: {EBML, SEGMENT}, CLUSTER: TOP_LEVEL | {EBML, SEGMENT}}.get(number, set()))
         if stop > end:
             raise ValueError(f"element at {begin} exceeds its parent")
         yield number, begin, at, stop
         at = stop
 
 
+def _open_end(data: bytes, at: int, end: int, enders: set[int]) -> int:
+    """Where an element of unknown size ends whose content begins at ``at``."""
+    while at < end:
+        number, body = read_id(data, at)
+        if number in enders:
+            return at
+        size, body = read_vint(data, body)
+        # an open child has the same enders or ends where they are looked for next
+        at = body if size is None else body + size
+    return end
+
+
 def _value(data: bytes, at: int, end: int) -> int:
     return int.from_bytes(data[at:end], "big")
 
@@ -301,7 +316,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 files = [mux(padded(buf[a:b].tobytes())) for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "n_bytes": pa.array(np.diff(at[i : j + 1])), "media": pa.array(files, pa.binary())})
 
-    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(write), "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "doc_id long, track int, packet long, timestamp_ms double, begin long, end long, cluster int, keyframe boolean, cued boolean"
@@ -346,7 +361,7 @@ def describe(data: bytes) -> tuple[bytes, str]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes say, one row per file."""
+    """What the stored bytes say, one row per file; of a null file nothing (nulls)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,13 +369,16 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for i in range(len(batch)):
                 data = batch.column("media")[i].as_py()
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 payload, feature = describe(data)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             if rows:
                 cols = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, sizes, *cols], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.mapInArrow(read, FEATURES)
+    return own_columns(media, "doc_id", "n_bytes", "media").mapInArrow(lean(read), FEATURES)
 
 
 def store_and_describe(docs: DataFrame) -> DataFrame:

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import flat, own_columns, slices, stage
+from cairn.llm.common import flat, lean, own_columns, slices, stage
 from cairn.llm.wordbpe import default_path, encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Ranks within a length are counted in so many parts, so that no task ranks a whole length.
-RANK_PARTS = 64
+#: Ranks within a length are counted in parts of about so many pieces at most, were all
+#: pieces of one length, so that no task ranks a whole length.
+RANK_PART = 100_000
 #: Slots and pieces meet by length and by rank in steps of this.
 RANK_STEP = 4096
 
@@ -50,7 +51,7 @@ def cut(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id:
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(v, t) for n, v, t in zip(PIECES.split(", "), zip(*rows, strict=True), types, strict=True)})
 
-    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(pieces, PIECES)
+    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(pieces), PIECES)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
@@ -108,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     packed separately.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]), F.lit(max(1, -(-pieces.count() // RANK_PART)))))
     counts = stage(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:

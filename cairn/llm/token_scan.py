@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, own_columns, shared_dir, slices, stage
+from cairn.llm.common import BlobReader, BlobWriter, flat, lean, own_columns, shared_dir, slices, stage
 from cairn.llm.wordbpe import default_path, encoder, with_end
 
 #: Past the vocabulary of 49,408, so no text can hold it.
@@ -49,7 +49,7 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end_id: in
         if out:
             out.close()
 
-    return stage(own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(write, ORDER), "flat-order")
+    return stage(own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(write), ORDER), "flat-order")
 
 
 def scan(spark: SparkSession, folder: str, files: DataFrame, end_id: int = END_OF_DOCUMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -68,7 +68,7 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, end_id: int = END_O
 
     blocks = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_bytes).cast("long"))).alias("at"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = stage(blocks.repartition(parts, "file", "at").mapInArrow(search, "file string, at long, stop long, total long, found array<long>"), "separators")
+    found = stage(blocks.repartition(parts, "file", "at").mapInArrow(lean(search), "file string, at long, stop long, total long, found array<long>"), "separators")
     # the prefix scan over a file's blocks, of which a row holds only counts and places
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     summary = found.select("file", "at", F.size("found").alias("n"), F.element_at(F.when(F.size("found") > 0, F.col("found")), -1).alias("last"))
@@ -95,7 +95,10 @@ def sizes(folder: str, names: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and n_tokens (with the end id), found by scanning the flat files."""
+    """doc_id, n_tokens (with the end id) and start in its file, found by scanning the
+    flat files.  One row per row: null text counts as empty, which is an end id alone;
+    null and repeated ids are rows like others.  An empty table gives an empty result;
+    other columns are ignored."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "flat")
     order = write_flat(docs, folder, path)

@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, own_columns, shared_dir, slices, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, flat, lean, own_columns, shared_dir, slices, stage, text_bytes
+from cairn.llm.skew import join_groups
 from cairn.llm.wordbpe import default_path, encoder, with_end
 
 WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 2048
 FRAME = 256 << 10
+#: A pack file is closed at this size; a shard (a range of ids) may have several.
 PACK_BYTES = 64 << 20
-MOST_PACKS = 20_000
+#: Ranges of ids are at most so many, as their bounds come to the driver.
+MOST_SHARDS = 20_000
 
 
 def cuts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +99,8 @@ def unpress(blob: bytes) -> bytes:
 
 DRAFT = "doc_id long, shard int, n_tokens long, sizes array<int>, digests array<binary>, root binary, file string, frame long, frame_bytes long, at long"
 DRAFT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-CHUNKS = "digest binary, file string, frame long, frame_bytes long, at long"
-CHUNK_TYPES = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+CHUNKS = "digest binary, uses long, file string, frame long, frame_bytes long, at long"
+CHUNK_TYPES = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 ROW = ["doc_id", "file", "frame", "at"]
 
 
@@ -117,7 +120,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
     """
     spark, path, width = docs.sparkSession, path or default_path(), np.dtype("<u4" if wide else "<u2")
     docs = own_columns(docs, doc_id=id_col, text=text_col)
-    shards = min(MOST_PACKS, max(text_bytes(docs, "text") // PACK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = min(MOST_SHARDS, max(text_bytes(docs, "text") // PACK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [1.0], 10_000)).first()[0] or []
     bounds = np.unique(np.array(bounds, np.int64))
     drafts = shared_dir(spark, "id-drafts")
@@ -147,9 +150,9 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
         if frames:
             frames.out.close()
 
-    recipes = stage(docs.mapInArrow(draft, DRAFT), "recipes")
+    recipes = stage(docs.mapInArrow(lean(draft), DRAFT), "recipes")
     chunk = recipes.select(*ROW, "shard", F.posexplode("digests").alias("pos", "digest"))
-    owners = chunk.groupBy("digest").agg(F.min(F.struct(*ROW, "shard", "pos")).alias("o")).groupBy("o.shard", *[f"o.{c}" for c in ROW]).agg(F.sort_array(F.collect_list("o.pos")).alias("own"))
+    owners = chunk.groupBy("digest").agg(F.min(F.struct(*ROW, "shard", "pos")).alias("o"), F.count(F.lit(1)).alias("uses")).groupBy("o.shard", *[f"o.{c}" for c in ROW]).agg(F.sort_array(F.collect_list(F.struct("o.pos", "uses"))).alias("own"))
     folder = shared_dir(spark, "id-store")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +160,15 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                if frames and frames.out.size >= PACK_BYTES:
+                    rows += frames.flush()
+                    frames.out.close()
+                    frames = None
                 frames = frames or _Frames(folder, f"pack-{r['shard']:06d}")
                 data = reader.get(r["file"], r["frame"], r["frame_bytes"])
                 ends = np.cumsum([0, *r["sizes"]]) * width.itemsize + r["at"]
-                for pos in r["own"]:
-                    frames.add(data[ends[pos] : ends[pos + 1]], r["digests"][pos])
+                for own in r["own"]:
+                    frames.add(data[ends[own["pos"]] : ends[own["pos"] + 1]], r["digests"][own["pos"]], own["uses"])
                     if frames.size >= FRAME:
                         rows += frames.flush()
             if rows:
@@ -174,7 +181,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
     same = [recipes["shard"] == owners["shard"], recipes["doc_id"].eqNullSafe(owners["doc_id"]), *[recipes[c] == owners[c] for c in ROW[1:]]]
     owned = recipes.drop("root", "n_tokens").join(owners, same, "inner").select(*[recipes[c] for c in (*ROW, "shard", "frame_bytes", "sizes", "digests")], "own")
     owned = owned.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "file", "frame", "at")
-    return {"recipes": recipes, "chunks": stage(owned.mapInArrow(store, CHUNKS), "chunks"), "folder": folder, "shards": shards, "width": width}
+    return {"recipes": recipes, "chunks": stage(owned.mapInArrow(lean(store), CHUNKS), "chunks"), "folder": folder, "shards": shards, "width": width}
 
 
 def read_store(store: dict) -> DataFrame:
@@ -217,11 +224,13 @@ def read_store(store: dict) -> DataFrame:
 
     rows = recipes.select("doc_id", "shard", "root", F.col("file").alias("doc_file"), F.col("frame").alias("doc_frame"), F.col("at").alias("doc_at"), F.posexplode_outer(F.arrays_zip("sizes", "digests")).alias("pos", "x"))
     rows = rows.select("*", F.col("x.sizes").alias("size"), F.col("x.digests").alias("digest")).drop("x")
-    rows = rows.join(chunks.hint("merge"), "digest", "left").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "doc_file", "doc_frame", "doc_at", "pos")
+    # a chunk that many documents share (an empty text's, a licence's) doesn't fill one task
+    uses = recipes.agg(F.sum(F.size("digests"))).first()[0] or 0
+    rows = join_groups(rows, chunks, "digest", "uses", uses, "left").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "doc_file", "doc_frame", "doc_at", "pos")
     totals = recipes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per pack
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    out = rows.mapInArrow(read, READ).join(F.broadcast(totals), "shard")
+    out = rows.mapInArrow(lean(read), READ).join(F.broadcast(totals), "shard")
     return out.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -54,6 +54,36 @@ def test_index_remembers(spark):
     assert index.rows().count() == 3
 
 
+def answer(found):
+    return sorted((tuple(r) for r in found.collect()), key=str)
+
+
+def test_repeated_batch(spark):
+    """The same batch again, after a failure further on, gets its first answer."""
+    index = exact_dedup.DigestIndex(spark)
+    one, two = frame(spark, [(1, "a"), (2, "b"), (3, "A")]), frame(spark, [(7, "a"), (8, "c"), (9, "c")])
+    first = answer(exact_dedup.deduplicate(one, index))
+    assert answer(exact_dedup.deduplicate(one.repartition(2), index)) == first
+    second = answer(exact_dedup.deduplicate(two, index, batch="two"))
+    assert answer(exact_dedup.deduplicate(two, index, batch="two")) == second
+    assert answer(exact_dedup.deduplicate(one, index)) == first
+    assert sorted(r["kept"] for r in exact_dedup.deduplicate(two, index, batch="three").collect()) == [False] * 3
+    assert index.rows().count() == 3
+    assert exact_dedup.keep_distinct(frame(spark, [(None, "z"), (None, "z"), (4, "y"), (4, "y")]), index).count() == 2
+
+
+def test_index_keeps_its_buckets(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    exact_dedup.deduplicate(frame(spark, [(1, "a"), (2, "b"), (3, "c")]), index)
+    spark.sql(f"DROP TABLE {index.table}")  # as in a new session
+    with pytest.raises(ValueError, match="2 buckets"):
+        exact_dedup.DigestIndex(spark, index.path, buckets=5)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    found = exact_dedup.deduplicate(frame(spark, [(7, "a"), (8, "B"), (9, "d")]), again).collect()
+    assert again.buckets == 2 and {(r["doc_id"], r["kept"]) for r in found} == {(7, False), (8, False), (9, True)}
+    assert again.rows().count() == again.rows().distinct().count() == 4
+
+
 def test_exact_empty(spark):
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0
 

@@ -42,7 +42,7 @@ def cut_text(rows, size):
             if first[data[a : a + size]] < i:
                 gone[a : a + size] = [True] * size
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g).decode()
-        if not any(gone) or kept.strip(" "):
+        if not any(gone) or kept.strip():
             out[i] = kept
     return out
 
@@ -76,6 +76,48 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == len(seen[4])
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _key string, class long, kept string, digest string"
+
+
+def odd_rows():
+    rng = random.Random(3)
+    base, other = (" ".join(words(rng, 60, 10**6)) for _ in range(2))
+    rows = [(1, base, "en"), (2, base + " near", "en"), (2, other, "de"), (None, base + " zilch", "en"), (None, base + " zilch", "en"), (None, "none of these", None), (7, None, "en"), (None, None, None), (None, "", "de"), (9, " \t", None), (9, " \t", None), (5, "twice here now", "en"), (5, "twice here now", "en")]
+    return [(i, t, lang, "s", len(t or ""), 0.5, "x", "k", 3, "kept", "d") for i, t, lang in rows]
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, repeated rows, and extra columns named like inner ones."""
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, EXTRA).repartition(3)
+    text = lambda found: sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
+    stage1, stage2, stage3, stage4, stage5 = (f for _, f in corpus_pipeline.STAGES)
+    found = stage1(spark, docs, "")
+    assert found.columns == docs.columns and text(found) == sorted(((r[0], r[1]) for r in rows if r[1] and r[1].strip()), key=str)
+    found = stage2(spark, docs, "")
+    assert found.columns == docs.columns and sorted((t or "").lower() for _, t in text(found)) == sorted({(r[1] or "").lower() for r in rows})
+    assert (5, "twice here now") in text(found) and (7, None) in text(found)
+    found = stage3(spark, docs, "")
+    base, other = rows[0][1], rows[2][1]
+    assert found.columns == docs.columns
+    assert text(found) == sorted([(1, base), (2, other), (None, "none of these"), (7, None), (None, None), (None, ""), (9, " \t"), (9, " \t"), (5, "twice here now")], key=str)
+    found = stage4(spark, docs, "")
+    assert found.columns == docs.columns and text(found) == sorted([(r[0], {base + " near": " near", base + " zilch": " zilch"}.get(r[1], r[1])) for r in rows], key=str)
+    assert len(stage5(spark, docs, "").collect()) == len(rows)
+
+
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], EXTRA)
+    for name, function in corpus_pipeline.STAGES:
+        found = function(spark, docs, "")
+        assert found.count() == 0 and (name == "best_fit_packing" or found.columns == docs.columns)
+
+
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12", None, "s", 2), (None, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [tuple(r) for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [(1, "some words", None, "s", 10)]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_registered(spark, name):

@@ -14,6 +14,7 @@ from cairn.llm.common import shared_dir
 
 ODD = [
     "", "it's we're don't  'sx ''s x's9 'll'd 12a3--'s!", "ÀÉÎ ß ǅ", "İx Ωσς ﬁ é", "a<|endoftext|>b", "x\x00y z«q» ×÷", None, "'", "''", "'re", "l'été n'est", "²³¼", "'rE 'S", "éte",
+    "qwertyuiasdfghjk", "vserzagennzspoph", "a vserzagennzspoph b qwertyuiasdfghjk", " " * 3000, "a" + " " * 37 + "the" + " " * 18 + ".", "x\x00\x00 y",
     "tab\tnew\nline  two   three ", " lead", "日本語 text", "🙂 ok", "▁ literal", "x" * 5000, "-" * 3000, "word " * 4000,
 ]
 
@@ -107,6 +108,15 @@ def test_store(spark, docs, ids):
     assert chunks.count() == chunks.select("digest").distinct().count() == store["recipes"].select(F.explode("digests")).distinct().count()
 
 
+def test_store_rolls_packs(spark, docs, ids, monkeypatch):
+    monkeypatch.setattr(token_store, "PACK_BYTES", 500)
+    monkeypatch.setattr(token_store, "FRAME", 256)
+    monkeypatch.setattr(token_store, "MOST_SHARDS", 2)
+    store = token_store.write_store(frame(spark, docs))
+    assert store["chunks"].select("file").distinct().count() > 2 * store["shards"]
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_store.read_store(store).collect()} == {i: crc(own) for i, own in ids.items()}
+
+
 def test_store_empty(spark):
     assert token_store.read_store(token_store.write_store(frame(spark, []))).count() == 0
 
@@ -229,6 +239,42 @@ def test_language_filter_has_all_languages():
     assert found.tolist() == [5]
 
 
+def test_language_counts_equal_brute_force(spark):
+    """Counts per language from plain sets and the false-positive rate."""
+    rows = language_rows(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, profile=50, least=2, bits=14)
+    plain = lambda t: (g for g in ((" " + t.lower() + " ").encode()[i : i + 4] for i in range(len(t.encode()) - 1)) if g.count(b" ") < 2)
+    totals = {}
+    for _, t, lang in rows:
+        for g in plain(t):
+            totals.setdefault(lang, {}).setdefault(g, 0)
+            totals[lang][g] += 1
+    number = lambda g: int.from_bytes(g, "little")
+    profiles = {lang: set(sorted((g for g in own if own[g] >= 2), key=lambda g: (-own[g], number(g)))[:50]) for lang, own in totals.items()}
+    slots = lambda g: [int(s[0]) for s in langid.slots(np.array([number(g)], np.uint32), 14)]
+    filled = {lang: {s for g in own for s in slots(g)} for lang, own in profiles.items()}
+    texts = [t for _, t, _ in rows[:40]]
+    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found, n = model.counts(np.frombuffer("".join(texts).encode(), np.uint8), bounds)
+    assert model.languages == sorted(profiles)
+    for k, t in enumerate(texts):
+        own = list(plain(t))
+        assert n[k] == len(own)
+        for b, lang in enumerate(model.languages):
+            rate = (len(filled[lang]) / (1 << 14)) ** langid.HASHES
+            hits = sum(all(s in filled[lang] for s in slots(g)) for g in own)
+            assert abs(found[k, b] - max(0, (hits - len(own) * rate) / (1 - rate))) < 1e-9
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, None, "aa")], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == [] and {tuple(r) for r in langid.predict(df, model).collect()} == {(1, "und", 0.0), (2, "und", 0.0)}
+    with pytest.raises(ValueError, match="lang_pred"):
+        langid.predict(df.withColumn("Lang_Pred", F.lit(1)), model, keep=["Lang_Pred"])
+
+
 def test_language_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.train(df)).count() == 0
@@ -247,13 +293,24 @@ def test_pieces_equal_the_library(spark, docs):
     wanted = dict(docs)
     for r in rows:
         text = wanted[r["doc_id"]] or ""
-        if "\0" not in text:
-            assert r["ids"] == processor.encode(text), text[:50]
+        assert r["ids"] == processor.encode(text), text[:50]
         assert r["n_ids"] == len(r["ids"]) and r["ids_crc32"] == crc(r["ids"])
         assert r["decoded_sha256"] == hashlib.sha256(text.replace("▁", " ").encode()).hexdigest()
         assert r["round_trip"] == ("▁" not in text)
 
 
+def test_runs_of_spaces():
+    import sentencepiece as library
+
+    path = wordbpe.default_path("piece_bpe_32k.model")
+    m, processor = sentencepiece.PieceModel(path), library.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    runs = [" " * n + tail for n in range(70) for tail in ("", "the", "x  y")] + ["".join(rng.choice(["a", "the ", " " * rng.randrange(1, 60), "\n"]) for _ in range(30)) for _ in range(200)] + [" " * 100_000]
+    ids, at = m.encode(runs)
+    for k, t in enumerate(runs):
+        assert ids[at[k] : at[k + 1]].tolist() == processor.encode(t), t[:80]
+
+
 # ---- media
 
 
@@ -289,6 +346,32 @@ def test_block_groups_and_unknown_sizes():
         media.read_id(b"\x00", 0)
 
 
+def test_live_clusters():
+    """Clusters of unknown size, as live files have them, end at the next one."""
+    track = media.element(media.TRACKS, media.element(media.TRACK_ENTRY, media.unsigned(media.TRACK_NUMBER, 1)))
+    cluster = lambda time, blob: media.element_id(media.CLUSTER) + b"\x01" + b"\xff" * 7 + media.unsigned(media.TIMESTAMP, time) + media.element(media.SIMPLE_BLOCK, media.block([blob], 0, media.NO_LACING))
+    data = media.element(media.EBML, b"") + media.element_id(media.SEGMENT) + b"\xff" + track + cluster(0, b"one") + cluster(40, b"two") + media.element(media.TAGS, b"") + cluster(80, b"three")
+    movie = media.demux(data + media.element(media.EBML, b"") + media.element(media.SEGMENT, track + cluster(7, b"four")))
+    assert [(ms, c) for _, ms, _, _, c, _ in movie.packets] == [(0, 0), (40, 1), (80, 2), (7, 3)] and len(movie.clusters) == 4
+    assert [data[a:b] for _, _, a, b, _, _ in movie.packets[:3]] == [b"one", b"two", b"three"]
+
+
+def test_null_media(spark):
+    rows = spark.createDataFrame([(1, 3, bytearray(media.mux(media.padded(b"abc"))), "x"), (2, 0, None, "y")], "doc_id long, n_bytes long, media binary, feature string")
+    found = {r["doc_id"]: r for r in media.features(rows).collect()}
+    assert found[1]["payload_bytes"] == 192 and found[2]["feature"] is None and media.packets(rows).select("doc_id").distinct().count() == 1
+
+
+def test_media_features(spark, docs):
+    """The features, worked out from the text alone."""
+    rows = {r["doc_id"]: r["feature"] for r in media.store_and_describe(frame(spark, docs[::7])).collect()}
+    for i, t in docs[::7]:
+        full = media.padded((t or "").encode())
+        n, samples = len(full) // 192, np.frombuffer(full, np.uint8).astype(float)
+        crossings = sum((a < 128) != (b < 128) for a, b in zip(full[:-1], full[1:], strict=True))
+        assert rows[i] == f"A_PCM/INT/LIT 8000Hz 8bit packets={n} clusters={-(-n // 320)} cues={-(-n // 320)} last_ms={(n - 1) * 24} duration_ms={n * 24} mean={samples.mean():.4f} deviation={samples.std():.4f} crossings={crossings}"
+
+
 def test_media_columns(spark, docs):
     rows = {r["doc_id"]: r for r in media.store_and_describe(frame(spark, docs)).collect()}
     for i, t in docs:
@@ -311,6 +394,8 @@ def test_media_columns(spark, docs):
 def test_token_counts(spark, docs, ids, block):
     found = {r["doc_id"]: r["n_tokens"] for r in token_scan.count_tokens(frame(spark, docs), block_bytes=block).collect()}
     assert found == {i: len(own) for i, own in ids.items()}
+    assert token_scan.count_tokens(frame(spark, [])).count() == 0
+    assert [tuple(r) for r in token_scan.count_tokens(frame(spark, [(None, None)])).collect()] == [(None, 1, 0)]
 
 
 def test_scan_of_foreign_files(spark):
