@@ -9,6 +9,7 @@ or speculative attempt leaves at most an unused file behind.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -44,6 +45,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Staged tables and folders that only serve until an operator returns."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def folder(self, name: str) -> str:
+        self.paths.append(shared_dir(self.spark, name))
+        return self.paths[-1]
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def sweep(self) -> None:
+        """Let Spark drop the shuffle files of jobs whose results are staged; it does so
+        when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        for path in self.paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths.clear()
+        self.sweep()
+
+
 def own_columns(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Only the named columns, quoted, so that extra columns never clash."""
     picked = [F.col(f"`{n}`").alias(n) for n in names]

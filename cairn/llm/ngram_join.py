@@ -6,7 +6,7 @@ into parts, more of them than two linked sets of the band can differ in, and eac
 is sketched by XOR: a word of one-bit parities (whose Hamming distance never exceeds the
 symmetric difference) and the XOR of the hashes themselves.  Each differing shingle
 spoils one part at most, so linked sets agree in a part (pigeonhole) and meet under its
-key.  Sets that meet are verified on all 128 bits; equal sets are one class throughout.
+key.  Sets that meet are verified on 96 of the bits; equal sets are one class throughout.
 In each group of classes that share a key a star is verified first: all members against
 the one that shares most keys.  Groups that are then not yet connected are compared in
 blocks of members, where bit sketches and the triangle inequality leave out nearly all
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, lean, lean_group, own_columns, shared_dir, slices, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, Shelf, flat, lean, lean_group, own_columns, slices, stage, text_bytes
 from cairn.llm.skew import join_groups
 
 BUCKET_BYTES = 8 << 20
@@ -312,7 +312,7 @@ def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
     return {x: root(x) for x in list(parent)}
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """node, label: the smallest node of its component.
 
     Edges are dealt evenly to tasks of about EDGES_PER_TASK, each of which contracts its
@@ -320,8 +320,8 @@ def components(edges: DataFrame) -> DataFrame:
     graph over roots, go through rounds of joins by node until every root has its label:
     each node hands its least neighbour to its larger neighbours, then to its smaller ones.
     """
-    spark = edges.sparkSession
-    edges = stage(edges.select("a", "b"), "edges")
+    shelf = shelf or Shelf(edges.sparkSession)
+    edges = shelf.stage(edges.select("a", "b"), "edges")
     tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,18 +332,18 @@ def components(edges: DataFrame) -> DataFrame:
         found = local_roots(a, b)
         yield pa.RecordBatch.from_pydict({"node": pa.array(found.keys(), pa.int64()), "label": pa.array(found.values(), pa.int64())})
 
-    roots = stage(edges.repartition(tasks).mapInArrow(lean(contract), "node long, label long"), "roots")
+    roots = shelf.stage(edges.repartition(tasks).mapInArrow(lean(contract), "node long, label long"), "roots")
     least = roots.groupBy("node").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("seen")).where("seen > 1")
     ties = join_groups(roots, least, "node", "seen", roots.count()).where("label <> least").select(F.col("label").alias("u"), F.col("least").alias("v")).distinct()
-    ties = stage(ties, "ties")
+    ties = shelf.stage(ties, "ties")
     if not ties.head(1):
         return roots
-    further = _stars(ties).select(F.col("u").alias("label"), F.col("v").alias("further"))
+    further = _stars(ties, shelf).select(F.col("u").alias("label"), F.col("v").alias("further"))
     whole = roots.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    return stage(whole.groupBy("node").agg(F.min("label").alias("label")), "labels")
+    return shelf.stage(whole.groupBy("node").agg(F.min("label").alias("label")), "labels")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """u, v: every node u but the least of its component, and that least node v."""
 
     def hand_on(pairs: DataFrame, smaller: bool) -> DataFrame:
@@ -351,16 +351,16 @@ def _stars(edges: DataFrame) -> DataFrame:
         rows = pairs if smaller else pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rows = rows.select(F.col("u").alias("v"), F.col("v").alias("u")) if smaller else rows
         least = rows.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        least = stage(least, "least")
+        least = shelf.stage(least, "least")
         met = join_groups(rows, least, "v", "degree", rows.count())
         handed = met.where("u > v" if not smaller else "u <> m").select("u", F.col("m").alias("v"))
         own = least.where("m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return stage(handed.unionByName(own).where("u > v").distinct(), "stars")
+        return shelf.stage(handed.unionByName(own).where("u > v").distinct(), "stars")
 
     def state(pairs: DataFrame):
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    pairs = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    pairs = shelf.stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
     while (now := state(pairs)) != before:
         before = now
@@ -498,7 +498,7 @@ def _bitmap(prints: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return whole, bits
 
 
-def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, secret: bytes, folder: str) -> DataFrame:
+def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, secret: bytes, folder: str, shelf: Shelf) -> DataFrame:
     """class and set (file, at, size) of the wanted (class, digest, print)."""
     bitmap, bits = _bitmap(wanted, wanted.count())
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -512,27 +512,33 @@ def _store_sets(docs: DataFrame, wanted: DataFrame, n: int, secret: bytes, folde
             prints = batch.column("print").to_pylist()
             for i, own, digest, _ in _sets(batch, n, secret):
                 out = out or BlobWriter(folder, ".set")
-                for k, v in zip(rows, (digest, prints[i], out.file, out.append(own.tobytes()), own.nbytes), strict=True):
+                for k, v in zip(rows, (digest, prints[i], out.file, out.append(blob := _dump(own)), len(blob)), strict=True):
                     rows[k].append(v)
             if rows["at"]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, {"file": pa.string(), "digest": pa.binary()}.get(k, pa.int64())) for k, v in rows.items()})
         if out is not None:
             out.close()
 
-    sets = stage(docs.select("print", "text").mapInArrow(lean(write), "digest binary, print long, file string, at long, size long"), "set-places")
+    sets = shelf.stage(docs.select("print", "text").mapInArrow(lean(write), "digest binary, print long, file string, at long, size long"), "set-places")
     held.destroy()
     # several rows with one print are copies of one text under one id
-    return stage(sets.join(wanted.hint("merge"), ["digest", "print"]).groupBy("class").agg(F.min(F.struct("file", "at", "size")).alias("set")), "sets")
+    return shelf.stage(sets.join(wanted.hint("merge"), ["digest", "print"]).groupBy("class").agg(F.min(F.struct("file", "at", "size")).alias("set")), "sets")
+
+
+def _dump(own: np.ndarray) -> bytes:
+    """96 bits of each member."""
+    return own[0].tobytes() + (own[1] >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def _load(reader: BlobReader, place: dict) -> np.ndarray:
-    return np.frombuffer(reader.get(place["file"], place["at"], place["size"]), "<u8").reshape(2, -1)
+    blob, n = reader.get(place["file"], place["at"], place["size"]), place["size"] // 12
+    return np.stack([np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.uint64)])
 
 
 VERIFIED = "a long, b long, linked boolean, differ long"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of classes, whether they are linked, and the size of their
     symmetric difference.  Many pairs may share a; a class is b once."""
 
@@ -549,12 +555,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> Dat
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rays")).join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    placed = join_groups(pairs, stage(stars, "star-sets"), "a", "rays", pairs.count()).join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    placed = join_groups(pairs, shelf.stage(stars, "star-sets"), "a", "rays", pairs.count()).join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     placed = placed.select("a", "b", "x", "y").repartition(parts).sortWithinPartitions("x", "y")
-    return stage(placed.mapInArrow(lean(check), VERIFIED), "verified")
+    return shelf.stage(placed.mapInArrow(lean(check), VERIFIED), "verified")
 
 
-def _verify_blocks(members: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+def _verify_blocks(members: DataFrame, sets: DataFrame, folder: str, percent: int, shelf: Shelf) -> DataFrame:
     """Links (a, b) that join components, among all members (gid, size, class, label,
     star, far) of each group.  A group's members are dealt to blocks by a hash and every
     two blocks meet; a row of the join holds where the two blocks are, no members."""
@@ -586,11 +592,11 @@ def _verify_blocks(members: DataFrame, sets: DataFrame, folder: str, percent: in
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     schema = "gid long, block long, blocks long, place struct<file:string,at:long,size:long>"
-    blocks = stage(dealt.select("gid", "block", "blocks", "members").mapInArrow(lean(write), schema), "blocks")
+    blocks = shelf.stage(dealt.select("gid", "block", "blocks", "members").mapInArrow(lean(write), schema), "blocks")
     left = blocks.select("gid", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("place").alias("x"))
     pairs = left.join(blocks.select("gid", F.col("block").alias("other"), F.col("place").alias("y")).hint("merge"), ["gid", "other"])
     pairs = pairs.repartition(parts, F.xxhash64("gid", "other")).sortWithinPartitions("gid", "other").select("x", "y")
-    return stage(pairs.mapInArrow(lean(check), "a long, b long").distinct(), "links")
+    return shelf.stage(pairs.mapInArrow(lean(check), "a long, b long").distinct(), "links")
 
 
 PLACE = pa.struct([("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
@@ -611,46 +617,49 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     """
     spark = docs.sparkSession
     docs = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("print", F.xxhash64("doc_id", "text"))
-    secret = os.urandom(16)
+    secret, shelf = os.urandom(16), Shelf(spark)
     found = _candidates(docs, words, percent, secret)
+    shelf.sweep()
     rows = found.where("row IS NOT NULL").drop("gid")
     first_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = stage(rows.where("n > 0").groupBy("digest", "name").agg(F.min("row").alias("class"), F.min(first_of).alias("least"), F.min("print").alias("print"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = shelf.stage(rows.where("n > 0").groupBy("digest", "name").agg(F.min("row").alias("class"), F.min(first_of).alias("least"), F.min("print").alias("print"), F.count(F.lit(1)).alias("copies")), "classes")
     # two sets with one name are both members of its groups, and form a group of their own
     shared = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("name").alias("gid"), "name")
     groups = found.where("gid IS NOT NULL").select("gid", "name").unionByName(shared).distinct()
-    groups = stage(groups.join(classes.select("name", "class").hint("merge"), "name").select("gid", "class").distinct(), "groups")
+    groups = shelf.stage(groups.join(classes.select("name", "class").hint("merge"), "name").select("gid", "class").distinct(), "groups")
     number = groups.count()
     labels = None
     if number:
-        folder = shared_dir(spark, "sets")
-        wanted = stage(classes.join(groups.select("class").distinct().hint("merge"), "class", "left_semi").select("class", "digest", "print"), "wanted")
-        sets = _store_sets(docs, wanted, words, secret, folder)
+        folder = shelf.folder("sets")
+        wanted = shelf.stage(classes.join(groups.select("class").distinct().hint("merge"), "class", "left_semi").select("class", "digest", "print"), "wanted")
+        sets = _store_sets(docs, wanted, words, secret, folder, shelf)
         # the member that shares most keys is likely the text the others are copies of
-        sizes = stage(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
-        groups = stage(join_groups(groups, sizes, "gid", "size", number), "sized")
+        sizes = shelf.stage(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        groups = shelf.stage(join_groups(groups, sizes, "gid", "size", number), "sized")
         weight = groups.groupBy("class").agg(F.sum("size").alias("weight"))
         heavy = groups.join(weight.hint("merge"), "class")
-        stars = stage(heavy.groupBy("gid", "size").agg(F.max(F.struct("weight", "class")).alias("a")), "stars")
+        stars = shelf.stage(heavy.groupBy("gid", "size").agg(F.max(F.struct("weight", "class")).alias("a")), "stars")
         first = join_groups(groups, stars.drop("size").withColumnRenamed("a", "star").join(sizes.withColumnRenamed("size", "many"), "gid"), "gid", "many", number)
         first = first.where(F.col("class") != F.col("star.class")).groupBy(F.col("class").alias("b")).agg(F.max("star").alias("a"))
-        tested = _verify(stage(first.select("a.class", "b").toDF("a", "b"), "rays"), sets, folder, percent)
+        tested = _verify(shelf.stage(first.select("a.class", "b").toDF("a", "b"), "rays"), sets, folder, percent, shelf)
         edges = tested.where("linked").select("a", "b")
-        labels = components(edges)
+        labels = components(edges, shelf)
+        shelf.sweep()
         # each class with its star and how far it is from it: two classes of one star
         # differ at least by the difference of their distances (triangle inequality)
         rays = tested.select(F.col("b").alias("class"), F.col("a").alias("star"), F.col("differ").alias("far"))
         members = groups.join(labels.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        members = stage(members, "members")
+        members = shelf.stage(members, "members")
         split = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("gid", "many")
-        members = join_groups(members, stage(split, "split"), "gid", "many", number).drop("many").join(rays.hint("merge"), "class", "left")
-        labels = components(edges.union(_verify_blocks(stage(members, "open"), sets, folder, percent)))
+        members = join_groups(members, shelf.stage(split, "split"), "gid", "many", number).drop("many").join(rays.hint("merge"), "class", "left")
+        labels = components(edges.union(_verify_blocks(shelf.stage(members, "open"), sets, folder, percent, shelf)), shelf)
     named = classes.withColumn("label", F.col("class"))
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = stage(named.select("class", "digest", "least", "copies", "label"), "named")
-    whole = stage(named.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "components")
+    named = shelf.stage(named.select("class", "digest", "least", "copies", "label"), "named")
+    whole = shelf.stage(named.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "components")
     owned = stage(join_groups(named.drop("least"), whole, "label", "members", named.count()).select("digest", "copies", "first"), "owned")
+    shelf.clear()
     filled = join_groups(rows.where("n > 0"), owned, "digest", "copies", rows.count())
     filled = filled.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "text_id", (F.col("row") == F.col("first.row")).alias("stays"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_id", F.lit(True).alias("stays"))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, lean, lean_group, own_columns, shared_dir, spread, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, Shelf, flat, lean, lean_group, own_columns, shared_dir, spread, stage, text_bytes
 from cairn.llm.skew import join_groups
 from cairn.llm.wordbpe import distinct_spans
 
@@ -285,7 +285,7 @@ BLOCKS = "block string, doc_ids array<long>, sizes array<long>, digests array<bi
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _blocks(docs: DataFrame, folder: str) -> DataFrame:
+def _blocks(docs: DataFrame, folder: str, shelf: Shelf) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, ids, texts, held = None, [], [], 0
 
@@ -309,13 +309,13 @@ def _blocks(docs: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return stage(docs.mapInArrow(lean(write), BLOCKS), "blocks")
+    return shelf.stage(docs.mapInArrow(lean(write), BLOCKS), "blocks")
 
 
-def _copies(blocks: DataFrame) -> DataFrame:
+def _copies(blocks: DataFrame, shelf: Shelf) -> DataFrame:
     """block, and the places in it of documents whose whole text a smaller id has."""
     rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "digests")).alias("place", "d")).select("block", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.digests").alias("digest"))
-    groups = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    groups = shelf.stage(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     found = join_groups(rows, groups, "digest", "n", rows.count()).where("doc_id > least")
     return found.groupBy("block").agg(F.collect_list("place").alias("copies"))
 
@@ -335,9 +335,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
     docs = own_columns(docs, doc_id=id_col, text=text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     bits = max(4, int(np.ceil(np.log2(max(1, text_bytes(docs, "text") / BUCKET_BYTES)))))
     folder, chunk, hot_runs = shared_dir(spark, "suffix"), CHUNK, HOT_RUNS
-    blocks = _blocks(docs, folder)
+    shelf = Shelf(spark)
+    blocks = _blocks(docs, folder, shelf)
     tasks = max(1, min(blocks.count(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = stage(blocks.join(_copies(blocks), "block", "left").drop("digests"), "marked")
+    blocks = shelf.stage(blocks.join(_copies(blocks, shelf), "block", "left").drop("digests"), "marked")
 
     def digits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BlobReader(folder)
@@ -360,9 +361,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
 
     replies = asked(blocks.repartition(tasks).mapInArrow(lean(digits_of), DIGITS))
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"), F.max("hot").alias("hot"))
-    replied = stage(blocks.join(replies, "block"), "replies")
+    replied = shelf.stage(blocks.join(replies, "block"), "replies")
     second = asked(replied.where("hot").repartition(tasks).mapInArrow(lean(hot_digits_of), DIGITS))
-    second = stage(second.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("seconds")), "second-replies")
+    second = shelf.stage(second.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("seconds")), "second-replies")
+    shelf.sweep()
     replied = replied.join(second, "block", "left")
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,6 +424,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
     masks = masks.groupBy("bucket").applyInArrow(lean_group(compare), "bucket int, block string, place string, masks binary")
     masks = masks.groupBy("block").agg(F.first("place").alias("place"), F.sort_array(F.collect_list(F.struct("bucket", "masks"))).alias("masks"))
     answered = stage(blocks.join(masks, "block", "left"), "masks")
+    shelf.clear()
 
     def removed(row: dict, reader: BlobReader, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and ends, in order, of what goes: windows found to repeat, and copies."""

@@ -102,7 +102,7 @@ def test_odd_rows(spark):
     assert found.columns == docs.columns
     assert text(found) == sorted([(1, base), (2, other), (None, "none of these"), (7, None), (None, None), (None, ""), (9, " \t"), (9, " \t"), (5, "twice here now")], key=str)
     found = stage4(spark, docs, "")
-    assert found.columns == docs.columns and text(found) == sorted([(r[0], {base + " near": " near", base + " zilch": " zilch"}.get(r[1], r[1])) for r in rows], key=str)
+    assert found.columns == docs.columns and text(found) == sorted([(r[0], {base + " near": " near", base + " zilch": "zilch"}.get(r[1], r[1])) for r in rows], key=str)
     assert len(stage5(spark, docs, "").collect()) == len(rows)
 
 
