@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -62,9 +63,12 @@ class Shelf:
 
     def sweep(self) -> None:
         """Let Spark drop the shuffle files of jobs whose results are staged; it does so
-        when the driver collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        when the driver collects its garbage, in two rounds: plans, then what they held."""
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.2)  # Python's references end on another thread
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def clear(self) -> None:
         for path in self.paths:
