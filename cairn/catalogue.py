@@ -547,7 +547,7 @@ def stream_ingest(spark, d):
     return versions.latest(store.log()).select("key", "value")
 
 
-# without SQL: text forms and Bloom positions are the engine's own, tested apart
+# DuckDB has no CRC-32: tested against zlib on the whole table
 
 
 @query("bloom_positions")
@@ -555,6 +555,25 @@ def bloom_positions(spark, d):
     return log(spark, d).select("key").distinct().select("key", values.bloom_positions(F.col("key")).alias("positions"))
 
 
-@query("duration_texts")
+def hundredths(whole: str) -> str:
+    """A count of hundredths as text with two decimals."""
+    return f"CAST(({whole}) // 100 AS VARCHAR) || '.' || lpad(CAST(({whole}) % 100 AS VARCHAR), 2, '0')"
+
+
+@query(
+    "duration_texts",
+    f"""
+WITH n AS (SELECT event_id, CAST(round(abs(value) * 1000) AS BIGINT) AS ns, CAST(round(abs(value) * 10000) AS BIGINT) AS h FROM events)
+SELECT event_id,
+       CASE WHEN ns < 1000 THEN CAST(ns AS VARCHAR) || ' ns'
+            WHEN ns < 1000000 THEN {hundredths('(ns + 5) // 10')} || ' µs'
+            WHEN ns < 1000000000 THEN {hundredths('(ns + 5000) // 10000')} || ' ms'
+            ELSE {hundredths('(ns + 5000000) // 10000000')} || ' s' END AS duration,
+       CASE WHEN h >= 100000000 THEN {hundredths('(h + 500000) // 1000000')} || ' M/s'
+            WHEN h >= 100000 THEN {hundredths('(h + 500) // 1000')} || ' K/s'
+            ELSE {hundredths('h')} || ' /s' END AS rate
+FROM n""",
+)
 def duration_texts(spark, d):
-    return table(spark, d, "events").select("event_id", values.duration_text(F.abs("value") * 1000).alias("duration"), values.rate_text(F.abs("value") * 100).alias("rate"))
+    cents = F.round(F.abs("value") * 10_000).cast("long")
+    return table(spark, d, "events").select("event_id", values.duration_text(F.round(F.abs("value") * 1000).cast("long")).alias("duration"), values.rate_text(cents / 100).alias("rate"))

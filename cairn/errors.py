@@ -39,3 +39,7 @@ class CorruptFile(CairnError):
 
 class CommitConflict(CairnError):
     """Another writer published the next manifest first."""
+
+
+class KeyTooLong(CairnError):
+    """A key past what the length field of a file format holds."""

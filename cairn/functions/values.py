@@ -16,11 +16,6 @@ def folded_text(value: Column) -> Column:
     return F.lower(value.cast("string"))
 
 
-def key_prefix(key: Column, prefix: str) -> Column:
-    """Reaches a Parquet scan as StringStartsWith when ``key`` is a physical column."""
-    return F.startswith(key, F.lit(prefix))
-
-
 def joined_key(*parts: Column | str) -> Column:
     return F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -54,15 +49,13 @@ def rate_text(per_second: Column) -> Column:
     )
 
 
-def bloom_positions(key: Column, bits: int = 131_072, hashes: int = 3) -> Column:
-    """Bit positions of a key in a Bloom filter of seeded CRC-32s."""
-    return F.array(*[F.pmod(F.crc32(F.concat(F.lit(bytes([seed])), key.cast("binary"))), F.lit(bits)) for seed in range(hashes)])
+def bloom_positions(key: Column, bits: int = 131_072) -> Column:
+    """Bit positions of a key in a run's Bloom filter: two CRC-32s, seeded with four
+    bytes, and their sum."""
+    one, two = (F.crc32(F.concat(F.lit(seed.to_bytes(4, "little")), key.cast("binary"))) for seed in (0, 1))
+    return F.array(*[F.pmod(h, F.lit(bits)) for h in (one, two, one + two)])
 
 
 def entry_size(key: Column, value: Column) -> Column:
     """Bytes an entry takes in memory: key, value and an eight-byte sequence number."""
     return F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + 8
-
-
-def system_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.startswith("_")]

@@ -35,18 +35,27 @@ class TypedFields:
     def equals(self, name: str, value: Any) -> Column:
         if name not in self.types:
             return F.lit(False)
-        column, kind = F.col(quoted(name)), self.types[name]
+        column = F.col(quoted(name))
         if value is None:
             return column.isNull()
+        return column == F.lit(value) if self._comparable(name, value) else F.lit(False)
+
+    def among(self, name: str, values: tuple) -> Column:
+        """One membership test, which the scan can use, of the values that fit the type."""
+        fitting = [v for v in values if v is not None and name in self.types and self._comparable(name, v)]
+        found = F.col(quoted(name)).isin(*fitting) if fitting else F.lit(False)
+        return found | self.equals(name, None) if None in values else found
+
+    def _comparable(self, name: str, value: Any) -> bool:
+        kind = self.types[name]
         fits = (
             (isinstance(value, bool) and isinstance(kind, T.BooleanType))
             or (isinstance(value, int) and not isinstance(value, bool) and isinstance(kind, T.IntegralType))
             or (isinstance(value, float) and isinstance(kind, (T.FractionalType, T.DecimalType)))
             or (isinstance(value, str) and isinstance(kind, T.StringType))
         )
-        if not fits and (isinstance(value, (bool, int, float, str)) or not isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BinaryType))):
-            return F.lit(False)
-        return column == F.lit(value)
+        other = not isinstance(value, (bool, int, float, str)) and isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BinaryType))
+        return fits or other
 
     def ordered(self, name: str, value: Any, above: bool) -> Column:
         kind = self.types.get(name)
@@ -98,6 +107,12 @@ class JsonFields:
         want = F.to_json(F.parse_json(F.lit(json.dumps(value))))
         return (tag.startswith("ARRAY") | tag.startswith("OBJECT")) & (F.to_json(self._value(name)) == want)
 
+    def among(self, name: str, values: tuple) -> Column:
+        found = F.lit(False)
+        for value in values:
+            found = found | F.coalesce(self.equals(name, value), F.lit(False))
+        return found
+
     def ordered(self, name: str, value: Any, above: bool) -> Column:
         tag = self._tag(name)
         if is_number(value):
@@ -153,10 +168,7 @@ class In:
     values: tuple
 
     def column(self, fields) -> Column:
-        found = F.lit(False)
-        for value in self.values:
-            found = found | F.coalesce(fields.equals(self.field, value), F.lit(False))
-        return found
+        return fields.among(self.field, self.values)
 
 
 @dataclass(frozen=True)

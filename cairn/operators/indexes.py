@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from cairn.functions.values import value_text
 
+NULL_TEXT = "null"
+
 
 def index(docs: DataFrame, value: Column, id_col: str = "_id") -> DataFrame:
     """id and value of every document, null and missing as 'null'."""
@@ -16,9 +20,20 @@ def index(docs: DataFrame, value: Column, id_col: str = "_id") -> DataFrame:
 
 def lookup(docs: DataFrame, value: Column, wanted: str, prefix: bool = False) -> DataFrame:
     """The documents an index read finds: by the whole text of the value, or by its
-    beginning.  A plain predicate, which the scan can skip files and row groups by."""
-    text = value_text(value)
-    return docs.where(F.startswith(text, F.lit(wanted)) if prefix else text == F.lit(wanted))
+    beginning.  On strings and whole numbers it is a comparison of the value itself, by
+    which the scan skips files and row groups; on other types one of its text."""
+    kind = docs.select(value).schema.fields[0].dataType
+    if isinstance(kind, T.StringType):
+        found = F.startswith(value, F.lit(wanted)) if prefix else value == F.lit(wanted)
+    elif isinstance(kind, T.IntegralType) and not prefix:
+        # only the one way in which a number is written can be its text
+        number = re.fullmatch(r"0|-?[1-9][0-9]{0,18}", wanted)
+        found = value == F.lit(int(wanted)) if number and -(1 << 63) <= int(wanted) < 1 << 63 else F.lit(False)
+    else:
+        text = value_text(value)
+        return docs.where(F.startswith(text, F.lit(wanted)) if prefix else text == F.lit(wanted))
+    # null and missing are indexed as 'null'
+    return docs.where(found | value.isNull() if (NULL_TEXT.startswith(wanted) if prefix else wanted == NULL_TEXT) else found)
 
 
 def fetch(entries: DataFrame, docs: DataFrame, id_col: str = "_id") -> DataFrame:
@@ -26,11 +41,6 @@ def fetch(entries: DataFrame, docs: DataFrame, id_col: str = "_id") -> DataFrame
     return docs.join(entries.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
 
 
-def numbered(batch: DataFrame, value: Column, order: list[Column]) -> DataFrame:
-    """``batch`` with the place of each row among those of one value."""
-    return batch.withColumn("nth", F.row_number().over(Window.partitionBy(value_text(value)).orderBy(*order)))
-
-
 def violations(batch: DataFrame, existing: DataFrame, value: Column, id_col: str = "_id") -> DataFrame:
     """Rows that a unique index turns away: a smaller id of the batch, or a stored
     document of another id, has the value already.  Of each value only the least id is

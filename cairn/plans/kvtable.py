@@ -147,12 +147,16 @@ class KVTransaction:
         return versions.overlay(base, buffered).orderBy("key")
 
     def commit(self) -> int | None:
+        """All writes at one sequence number, published by one manifest before this
+        returns; on a failure none are there and the transaction is still open."""
         rows = self._open()
-        self.buffer = None
         if not rows:
+            self.buffer = None
             return None
-        seq, self.table.seq = self.table.seq, self.table.seq + 1
-        self.table._hold([(k, seq, v) for k, v in rows.items()])
+        self.table.flush()
+        seq = self.table.seq
+        self.table.store.append(self.table.spark.createDataFrame([(k, seq, v) for k, v in rows.items()], self.table.store.schema), seq + 1)
+        self.table.seq, self.buffer = seq + 1, None
         return seq
 
     def abort(self) -> None:

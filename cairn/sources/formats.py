@@ -14,17 +14,19 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, WriterCommitMessage
 
-from cairn.errors import CorruptFile
+from cairn.errors import CorruptFile, KeyTooLong
 
 #: Fixed values of the formats.
 MAGIC, VERSION = 0x4B45594C54, 1
 BLOCK_BYTES = 16 * 1024
-BLOOM_BYTES, BLOOM_HASHES = 16_384, 3
+BLOOM_BYTES, KEY_BYTES = 16_384, (1 << 16) - 1
 ENTRY, INDEXED, RECORD, FOOTER = struct.Struct("<HI"), struct.Struct("<HQ"), struct.Struct("<QHI"), struct.Struct("<QIQQQQQ")
 
 Row = tuple[bytes, int, bytes | None]
@@ -42,14 +44,18 @@ def unchecked(data: bytes, at: int) -> tuple[bytes, int]:
     return body, at + 8 + size
 
 
-def bloom_bits(key: bytes) -> list[int]:
-    return [zlib.crc32(bytes([seed]) + key) % (8 * BLOOM_BYTES) for seed in range(BLOOM_HASHES)]
+def bloom_bits(key: bytes, bits: int = 8 * BLOOM_BYTES) -> tuple[int, int, int]:
+    """Two CRC-32s, seeded with four bytes, and their sum."""
+    one, two = (zlib.crc32(key, zlib.crc32(struct.pack("<I", seed))) for seed in (0, 1))
+    return one % bits, two % bits, (one + two) % bits
 
 
 def write_run(rows: Iterable[Row]) -> bytes:
     """A run of rows, which come sorted by key and falling sequence number."""
     out, block, index, bloom, seqs, first = bytearray(), bytearray(), [], bytearray(BLOOM_BYTES), [], None
     for key, seq, value in rows:
+        if len(key) > KEY_BYTES:
+            raise KeyTooLong(f"a run's keys have {KEY_BYTES} bytes at most, this one {len(key)}")
         if first is None:
             first = key
         block += ENTRY.pack(len(key), len(value or b"")) + key + struct.pack("<Q", seq) + (value or b"")
@@ -70,29 +76,33 @@ def write_run(rows: Iterable[Row]) -> bytes:
     return bytes(out + FOOTER.pack(MAGIC, VERSION, index_at, bloom_at, len(seqs), min(seqs, default=0), max(seqs, default=0)))
 
 
-@dataclass
 class Run:
-    """A run's footer, index and filter; blocks are parsed when they are asked for."""
-
-    data: bytes
+    """A run's footer, index and filter; blocks are read and parsed when they are asked
+    for.  ``source`` is the file's bytes, or an open file that is read in ranges."""
 
-    def __post_init__(self):
-        if len(self.data) < FOOTER.size:
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.source = source
+        size = len(source) if isinstance(source, bytes) else source.size()
+        if size < FOOTER.size:
             raise CorruptFile("too short for a run")
-        magic, version, index_at, bloom_at, self.entries, self.min_seq, self.max_seq = FOOTER.unpack(self.data[-FOOTER.size :])
+        magic, version, index_at, bloom_at, self.entries, self.min_seq, self.max_seq = FOOTER.unpack(self._read(size - FOOTER.size, size))
         if magic != MAGIC or version != VERSION:
             raise CorruptFile("not a run")
-        body, _ = unchecked(self.data, index_at)
-        self.bloom, _ = unchecked(self.data, bloom_at)
+        body, _ = unchecked(self._read(index_at, bloom_at), 0)
+        self.bloom, _ = unchecked(self._read(bloom_at, size - FOOTER.size), 0)
         at, self.firsts, self.places = 4, [], []
         for _ in range(struct.unpack_from("<I", body)[0]):
             size, place = INDEXED.unpack_from(body, at)
             at += INDEXED.size + size
             self.firsts.append(body[at - size : at])
             self.places.append(place)
+        self.ends = [*self.places[1:], index_at]
+
+    def _read(self, at: int, end: int) -> bytes:
+        return self.source[at:end] if isinstance(self.source, bytes) else self.source.read_at(end - at, at)
 
     def block(self, i: int) -> Iterator[Row]:
-        body, _ = unchecked(self.data, self.places[i])
+        body, _ = unchecked(self._read(self.places[i], self.ends[i]), 0)
         at = 0
         while at < len(body):
             size, length = ENTRY.unpack_from(body, at)
@@ -103,7 +113,7 @@ class Run:
             yield key, seq, body[at - length : at] or None
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bloom_bits(key))
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bloom_bits(key, 8 * len(self.bloom)))
 
     def rows(self, start: bytes | None = None, end: bytes | None = None) -> Iterator[Row]:
         """Entries with start <= key < end; blocks outside aren't touched."""
@@ -127,6 +137,8 @@ class Run:
 
 
 def log_record(key: bytes, seq: int, value: bytes | None) -> bytes:
+    if len(key) > KEY_BYTES:
+        raise KeyTooLong(f"a log's keys have {KEY_BYTES} bytes at most, this one {len(key)}")
     body = RECORD.pack(seq, len(key), len(value or b"")) + key + (value or b"")
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -158,55 +170,100 @@ class FilePart(InputPartition):
     path: str
 
 
+BATCH_ROWS = 8192
+SCHEMA = pa.schema([("key", pa.binary()), ("seq", pa.int64()), ("value", pa.binary())])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, runs: bool):
-        self.path, self.runs, self.start, self.end = path, runs, None, None
+        self.path, self.runs, self.start, self.end, self.keys, self.before = path, runs, None, None, [], None
 
     def pushFilters(self, filters: list[Filter]):
-        """Bounds on the key reach the run's index; everything is checked again."""
+        """Bounds on the key reach the run's index, single keys its Bloom filter and upper
+        bounds on the sequence number its footer; everything is checked again."""
         for f in filters:
             if self.runs and isinstance(f, (EqualTo, GreaterThanOrEqual, LessThan)) and f.attribute == ("key",):
                 value = bytes(f.value)
+                if isinstance(f, EqualTo):
+                    self.keys.append(value)
                 if isinstance(f, (GreaterThanOrEqual, EqualTo)):
                     self.start = max(self.start or b"", value)
                 if isinstance(f, (LessThan, EqualTo)):
                     value += b"\0" if isinstance(f, EqualTo) else b""
                     self.end = value if self.end is None else min(self.end, value)
+            elif self.runs and isinstance(f, LessThan) and f.attribute == ("seq",):
+                self.before = f.value if self.before is None else min(self.before, f.value)
             yield f
 
     def partitions(self) -> list[InputPartition]:
         fs, path = _fs(self.path)
         if fs.get_file_info(path).type == pafs.FileType.File:
             return [FilePart(self.path)]
-        suffix = ".db" if self.runs else ".log"
-        found = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.path.endswith(suffix))
         base = self.path.rstrip("/")
-        return [FilePart(f"{base}/{os.path.basename(p)}") for p in found]
+        return [FilePart(f"{base}/{os.path.basename(p)}") for p in sorted(_files(fs, path, self.runs))]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def _rows(self, file: pa.NativeFile) -> Iterator[Row]:
+        if not self.runs:
+            return read_log(file.read())
+        run = Run(file)
+        if (self.before is not None and run.min_seq >= self.before) or not all(map(run.may_have, self.keys)):
+            return iter(())
+        return run.rows(self.start, self.end)
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(partition.path)
-        with fs.open_input_file(path) as f:
-            data = f.read()
-        yield from Run(data).rows(self.start, self.end) if self.runs else read_log(data)
+        with fs.open_input_file(path) as file:
+            rows = self._rows(file)
+            while some := list(islice(rows, BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+
+
+def _files(fs: pafs.FileSystem, path: str, runs: bool) -> list[str]:
+    suffix = ".db" if runs else ".log"
+    return [i.path for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.path.endswith(suffix)]
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str | None
 
 
 class _Writer(DataSourceWriter):
-    """A file for each partition; those of a run are sorted before they are written."""
+    """A file for each partition; those of a run are sorted before they are written.
 
-    def __init__(self, path: str, runs: bool):
-        self.path, self.runs = path, runs
+    Tasks write under names that no reader lists; the driver's commit gives the files of
+    the attempts that count their names, so a repeated or failed task adds nothing.
+    """
+
+    def __init__(self, path: str, runs: bool, overwrite: bool):
+        self.path, self.runs, self.overwrite = path, runs, overwrite
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, rows: Iterator) -> Written:
         found = [(bytes(r["key"]), r["seq"], None if r["value"] is None else bytes(r["value"])) for r in rows]
-        if found:
-            found.sort(key=lambda r: (r[0], -r[1]) if self.runs else r[1])
-            data = write_run(found) if self.runs else b"".join(log_record(*r) for r in found)
-            fs, path = _fs(self.path)
-            fs.create_dir(path, recursive=True)
-            name = f"sst-{uuid.uuid4().hex}.db" if self.runs else f"wal-{uuid.uuid4().hex}.log"
-            with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
-                out.write(data)
-        return WriterCommitMessage()
+        if not found:
+            return Written(None)
+        found.sort(key=lambda r: (r[0], -r[1]) if self.runs else r[1])
+        data = write_run(found) if self.runs else b"".join(log_record(*r) for r in found)
+        fs, path = _fs(self.path)
+        fs.create_dir(path, recursive=True)
+        name = f"sst-{uuid.uuid4().hex}.db" if self.runs else f"wal-{uuid.uuid4().hex}.log"
+        with fs.open_output_stream(f"{path}/{name}.part", compression=None) as out:
+            out.write(data)
+        return Written(name)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, path = _fs(self.path)
+        fs.create_dir(path, recursive=True)
+        old = _files(fs, path, self.runs) if self.overwrite else []
+        for name in (m.name for m in messages if m and m.name):
+            fs.move(f"{path}/{name}.part", f"{path}/{name}")
+        for file in old:
+            fs.delete_file(file)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, path = _fs(self.path)
+        for name in (m.name for m in messages if m and m.name):
+            fs.delete_file(f"{path}/{name}.part")
 
 
 class SortedRuns(DataSource):
@@ -225,7 +282,7 @@ class SortedRuns(DataSource):
         return _Reader(self.options["path"], self.runs)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], self.runs)
+        return _Writer(self.options["path"], self.runs, overwrite)
 
 
 class RecordLogs(SortedRuns):

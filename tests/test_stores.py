@@ -1,6 +1,8 @@
 """Tables, collections, transactions, formats, streams and the shell."""
 
 import json
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +10,8 @@ from pyspark.sql import functions as F
 from cairn import errors
 from cairn.cli import Shell
 from cairn.functions import values
-from cairn.operators import updates
-from cairn.operators.filters import Eq, Exists, Gt, In, JsonFields, Lt
+from cairn.operators import indexes, updates
+from cairn.operators.filters import Eq, Exists, Gt, In, JsonFields, Lt, TypedFields
 from cairn.plans.docstore import DocStore
 from cairn.plans.kvtable import KVTable
 from cairn.plans.query import Query
@@ -198,6 +200,98 @@ def test_formats(spark, tmp_path):
         assert back.where((F.col("key") >= F.lit(b"key_00100")) & (F.col("key") < F.lit(b"key_00110"))).count() == 10
 
 
+def test_membership_and_index_reads_reach_the_scan(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    spark.createDataFrame([(1, "a", 5), (2, None, None), (3, "null", 12)], "id int, s string, n long").write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    found = df.where(In("n", (5, 12, "x", None)).column(TypedFields(df)))
+    assert "PushedFilters: [Or(In(n, [" in plan(found) and "IsNull(n))]" in plan(found) and found.count() == 3
+    assert df.where(In("n", ()).column(TypedFields(df))).count() == 0 and df.where(In("s", (5,)).column(TypedFields(df))).count() == 0
+    ids = lambda d: sorted(r["id"] for r in d.collect())
+    exact = indexes.lookup(df, F.col("n"), "12")
+    assert "EqualTo(n,12)" in plan(exact) and ids(exact) == [3]
+    assert "EqualTo(s,a)" in plan(indexes.lookup(df, F.col("s"), "a"))
+    assert ids(indexes.lookup(df, F.col("s"), "null")) == [2, 3] and ids(indexes.lookup(df, F.col("n"), "null")) == [2]
+    assert ids(indexes.lookup(df, F.col("s"), "nu", prefix=True)) == [2, 3] and ids(indexes.lookup(df, F.col("n"), "1", prefix=True)) == [3]
+    assert ids(indexes.lookup(df, F.col("n"), "012")) == ids(indexes.lookup(df, F.col("n"), "1" * 19 + "9")) == []
+
+
+def test_bloom_positions(spark):
+    keys = [f"user_{i}" for i in range(500)] + ["key1", "", "é"]
+    rows = spark.createDataFrame([(k,) for k in keys], "key string").select("key", values.bloom_positions(F.col("key")).alias("p")).collect()
+    for r in rows:
+        data = r["key"].encode()
+        one, two = (zlib.crc32(bytes([seed, 0, 0, 0]) + data) for seed in (0, 1))
+        assert r["p"] == [one % 131_072, two % 131_072, (one + two) % 131_072] == list(formats.bloom_bits(data))
+    assert next(r["p"] for r in rows if r["key"] == "key1") == [25637, 25787, 51424]
+
+
+def foreign_run(rows):
+    """A run put together by hand, one block to an entry."""
+    out, index, bloom = b"", [], bytearray(16_384)
+    framed = lambda body: struct.pack("<I", len(body)) + body + struct.pack("<I", zlib.crc32(body))
+    for key, seq, value in rows:
+        index.append((key, len(out)))
+        out += framed(struct.pack("<HI", len(key), len(value)) + key + struct.pack("<Q", seq) + value)
+        one, two = (zlib.crc32(bytes([seed, 0, 0, 0]) + key) for seed in (0, 1))
+        for bit in (one, two, one + two):
+            bloom[bit % 131_072 // 8] |= 1 << (bit % 8)
+    index_at = len(out)
+    out += framed(struct.pack("<I", len(index)) + b"".join(struct.pack("<HQ", len(k), at) + k for k, at in index))
+    bloom_at = len(out)
+    out += framed(bytes(bloom))
+    return out + struct.pack("<QIQQQQQ", 0x4B45594C54, 1, index_at, bloom_at, len(rows), rows[0][1], rows[-1][1])
+
+
+def test_foreign_run(spark, tmp_path):
+    formats.register(spark)
+    rows = [(f"key_{i:04}".encode(), i + 10, b"v%d" % i) for i in range(200)]
+    data = foreign_run(rows)
+    run = formats.Run(data)
+    assert all(run.get(k) == (k, s, v) for k, s, v in rows) and run.get(b"key_9999") is None
+    (tmp_path / "sst-1.db").write_bytes(data)
+    back = spark.read.format("cairn_runs").load(str(tmp_path))
+    assert back.count() == 200
+    assert [r["seq"] for r in back.where(F.col("key") == F.lit(b"key_0042")).collect()] == [52]
+    assert back.where(F.col("key") == F.lit(b"absent")).count() == 0
+    assert back.where(F.col("seq") < 10).count() == 0 and back.where(F.col("seq") < 12).count() == 2
+
+
+def test_format_commits(spark, tmp_path):
+    formats.register(spark)
+    path = f"{tmp_path}/runs"
+    rows = lambda *keys: spark.createDataFrame([(k.encode(), 1, b"x") for k in keys], "key binary, seq bigint, value binary")
+    keys = lambda: sorted(bytes(r["key"]).decode() for r in spark.read.format("cairn_runs").load(path).collect())
+    rows("a", "b").write.format("cairn_runs").mode("append").save(path)
+    rows("c").write.format("cairn_runs").mode("append").save(path)
+    assert keys() == ["a", "b", "c"]
+    rows("d").write.format("cairn_runs").mode("overwrite").save(path)
+    assert keys() == ["d"]
+    broken = rows("e", "f").repartition(2).unionByName(rows("x" * 70_000))
+    with pytest.raises(Exception, match="65535"):
+        broken.write.format("cairn_runs").mode("overwrite").save(path)
+    assert keys() == ["d"]
+    # an attempt that doesn't count leaves nothing a reader sees
+    formats._Writer(path, True, False).write(iter([{"key": b"z", "seq": 1, "value": b"x"}]))
+    assert keys() == ["d"]
+    with pytest.raises(errors.KeyTooLong):
+        formats.log_record(b"x" * 70_000, 1, None)
+
+
+def test_commit_is_durable(spark, tmp_path):
+    path = f"file://{tmp_path}/kv"
+    one = KVTable(spark, path)
+    one.put("held", "in memory")
+    txn = one.begin()
+    txn.put("a", "1")
+    txn.put("b", "2")
+    seq = txn.commit()
+    again = KVTable(spark, path)  # as after a crash
+    assert again.get("a") == b"1" and again.get("b") == b"2" and again.get("held") == b"in memory"
+    assert {r["seq"] for r in again.log().where(F.col("key").isin(b"a", b"b")).collect()} == {seq} and again.seq == seq + 1
+
+
 def test_stream_into_store(spark, tmp_path):
     source = f"{tmp_path}/in"
     spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z"), ("b", 4, "")], "key string, op long, value string").coalesce(1).write.parquet(source)
