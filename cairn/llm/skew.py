@@ -23,3 +23,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     of_hot = tagged.where(F.col("_hot")).select(*rows.columns, *added)
     others = tagged.where(F.col("_hot").isNull()).select(*rows.columns)
     return of_hot.unionByName(others.join(groups.hint("merge"), key, how).select(*rows.columns, *added))
+
+
+def join_once(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: list[str]) -> DataFrame:
+    """As ``join_groups`` with a left join, for rows that are dear to work out twice: all
+    go through one sort-merge join, where rows of hot keys, which have their group from
+    the broadcast, are spread by the columns ``spread`` and meet nothing."""
+    added = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) * HOT_SHARE > F.lit(total)).select(key, F.struct(*added).alias("_hot"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(HOT_SHARE)))
+    tagged = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
+    others = groups.select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*added).alias("_met"))
+    met = tagged.join(others.hint("merge"), [key, "_salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_met.{c}")).alias(c) for c in added])

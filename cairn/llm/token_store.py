@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.common import BlobReader, BlobWriter, flat, lean, own_columns, shared_dir, slices, stage, text_bytes
-from cairn.llm.skew import join_groups
+from cairn.llm.skew import join_once
 from cairn.llm.wordbpe import default_path, encoder, with_end
 
 WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 2048
@@ -226,7 +226,7 @@ def read_store(store: dict) -> DataFrame:
     rows = rows.select("*", F.col("x.sizes").alias("size"), F.col("x.digests").alias("digest")).drop("x")
     # a chunk that many documents share (an empty text's, a licence's) doesn't fill one task
     uses = recipes.agg(F.sum(F.size("digests"))).first()[0] or 0
-    rows = join_groups(rows, chunks, "digest", "uses", uses, "left").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "doc_file", "doc_frame", "doc_at", "pos")
+    rows = join_once(rows, chunks, "digest", "uses", uses, ["doc_file", "doc_frame", "doc_at", "pos"]).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "doc_file", "doc_frame", "doc_at", "pos")
     totals = recipes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per pack
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, media, packing, sentencepiece, token_scan, token_store, warc, wordbpe
+from cairn.llm import langid, media, packing, sentencepiece, skew, token_scan, token_store, warc, wordbpe
 from cairn.llm.common import shared_dir
 
 ODD = [
@@ -108,6 +108,19 @@ def test_store(spark, docs, ids):
     assert chunks.count() == chunks.select("digest").distinct().count() == store["recipes"].select(F.explode("digests")).distinct().count()
 
 
+@pytest.mark.parametrize("share", [1000, 20, 1])
+def test_shared_chunks(spark, share, monkeypatch):
+    """Hot chunks, some and none, meet their documents alike."""
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
+    rows = spark.createDataFrame([(i, i % 3 if i % 3 else i) for i in range(60)] + [(99, None)], "id long, k long")
+    groups = rows.where("k IS NOT NULL AND k <> 6").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    found = skew.join_once(rows, groups, "k", "n", 61, ["id"])
+    top = {k: max(i for i in range(60) if (i % 3 if i % 3 else i) == k) for k in range(60) if k in (1, 2) or k % 3 == 0}
+    wanted = [(i, k, None if k == 6 else 20 if k in (1, 2) else 1, None if k == 6 else top[k]) for i in range(60) for k in [i % 3 if i % 3 else i]]
+    assert sorted((r["id"], r["k"], r["n"], r["top"]) for r in found.collect() if r["k"] is not None) == sorted(wanted, key=lambda w: w[0])
+    assert found.count() == 61
+
+
 def test_store_rolls_packs(spark, docs, ids, monkeypatch):
     monkeypatch.setattr(token_store, "PACK_BYTES", 500)
     monkeypatch.setattr(token_store, "FRAME", 256)
