@@ -151,6 +151,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as Python objects, one at a time: rows may be wide."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer row is a run of its own."""
     i, n = 0, len(offsets) - 1

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BlobReader, BlobWriter, Shelf, flat, lean, lean_group, own_columns, shared_dir, spread, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, Shelf, each_row, flat, lean, lean_group, own_columns, shared_dir, slices, spread, stage, text_bytes
 from cairn.llm.skew import join_groups
 from cairn.llm.wordbpe import distinct_spans
 
@@ -36,6 +36,8 @@ BLOCK = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Windows whose digits are computed at once, whatever the size of a document.
 CHUNK = 1 << 20
+#: Windows of a bucket that are compared, or marked, at once.
+PORTION = 1 << 19
 RUN = 64
 #: A first digit of more runs than this is dealt on by a second one.
 HOT_RUNS = 20_000
@@ -231,10 +233,11 @@ def equal_groups(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, thresho
     """Most-significant-digit passes over the windows at ``starts``, which ``group``
     divides already.  Returns the windows that have an equal one, ordered so that
     equal windows are neighbours, and where their groups begin."""
-    eight = load8(buf).byteswap()
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
     alive = np.arange(len(starts))
     for at in [*range(0, threshold - 7, 8), *([threshold - 8] if threshold % 8 else [])]:
-        digit = eight[starts[alive] + at]
+        digit = words[starts[alive] + at].copy().view(">u8")[:, 0].astype(np.uint64)
         order = np.lexsort((digit, group))
         digit, group, alive = digit[order], group[order], alive[order]
         new = np.ones(len(alive) + 1, bool)
@@ -248,9 +251,11 @@ def equal_groups(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, thresho
     return alive, heads
 
 
-def repeated(texts: list[bytes], digits: np.ndarray, owner: np.ndarray, threshold: int) -> np.ndarray:
+def repeated(texts: list[bytes], digits: np.ndarray, owner: np.ndarray, threshold: int, portion: int = PORTION) -> np.ndarray:
     """A bit mask for each run of a bucket: its windows that also stand under a smaller
-    owner.  owner: the smallest document id with that run in the block it is from."""
+    owner.  owner: the smallest document id with that run in the block it is from.
+    Digits are gone through in portions of windows, so that only the texts and one number
+    per window are held for the whole bucket."""
     index: dict[bytes, int] = {}
     which = np.fromiter((index.setdefault(t, len(index)) for t in texts), np.int64, len(texts))
     distinct = list(index)
@@ -266,17 +271,24 @@ def repeated(texts: list[bytes], digits: np.ndarray, owner: np.ndarray, threshol
     _, group, members = np.unique(digit, return_inverse=True, return_counts=True)
     several = np.flatnonzero(members[group] > 1)
     if len(several):
-        windows = spread(window_of[several], number[several])
-        starts = spread(offsets[several], number[several])
-        alive, heads = equal_groups(np.frombuffer(b"".join(distinct), np.uint8), starts, np.repeat(group[several], number[several]), threshold)
-        if len(alive):
-            low = np.minimum.reduceat(least[windows[alive]], heads)
-            least[windows[alive]] = np.repeat(low, np.diff(np.append(heads, len(alive))))
-    each = number[which]
-    hit = least[spread(window_of[which], each)] < np.repeat(owner, each)
-    begin = np.cumsum(each) - each
-    bit = spread(np.zeros(len(each), np.int64), each).astype(np.uint64)
-    return np.bitwise_or.reduceat(hit.astype(np.uint64) << bit, begin) if len(each) else np.zeros(0, np.uint64)
+        buf = np.frombuffer(b"".join(distinct), np.uint8)
+        several = several[np.argsort(group[several], kind="stable")]
+        heads = np.append(np.flatnonzero(np.append(True, np.diff(group[several]) != 0)), len(several))
+        total = np.append(0, np.cumsum(number[several]))
+        for i, j in slices(total[heads], portion):
+            own = several[heads[i] : heads[j]]
+            windows, starts = spread(window_of[own], number[own]), spread(offsets[own], number[own])
+            alive, begin = equal_groups(buf, starts, np.repeat(group[own], number[own]), threshold)
+            if len(alive):
+                low = np.minimum.reduceat(least[windows[alive]], begin)
+                least[windows[alive]] = np.repeat(low, np.diff(np.append(begin, len(alive))))
+    each, masks = number[which], np.zeros(len(which), np.uint64)
+    for i, j in slices(np.append(0, np.cumsum(each)), portion):
+        own = each[i:j]
+        hit = least[spread(window_of[which[i:j]], own)] < np.repeat(owner[i:j], own)
+        bit = spread(np.zeros(len(own), np.int64), own).astype(np.uint64)
+        masks[i:j] = np.bitwise_or.reduceat(hit.astype(np.uint64) << bit, np.cumsum(own) - own)
+    return masks
 
 
 # ---- the distributed steps -------------------------------------------------
@@ -343,14 +355,14 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
     def digits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BlobReader(folder)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 digit, _, _ = _runs_of(row, np.frombuffer(_unpack(reader, row["block"]), np.uint8), threshold, chunk)
                 yield _digit_rows(row["block"], digit, bits)
 
     def hot_digits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BlobReader(folder)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 buf = np.frombuffer(_unpack(reader, row["block"]), np.uint8)
                 digit, starts, number = _runs_of(row, buf, threshold, chunk)
                 hot = _answers(digit, row["replies"], bits)[1]
@@ -370,7 +382,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, out = BlobReader(folder), None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 data = _unpack(reader, row["block"])
                 buf = np.frombuffer(data, np.uint8)
                 begins, _, ids = _bounds(row)
@@ -452,7 +464,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, with_text: bool = False
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BlobReader(folder)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 data = _unpack(reader, row["block"])
                 begins, ends, ids = _bounds(row)
                 first, last = removed(row, reader, begins, ends)

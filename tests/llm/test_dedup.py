@@ -161,6 +161,25 @@ def test_windows_empty(spark):
         suffix_dedup.remove_repeats(frame(spark, []), 8)
 
 
+def test_masks_in_portions():
+    rng, size = random.Random(5), 20
+    source = rng.randbytes(3000)
+    texts, owner = [], []
+    for _ in range(300):
+        at, n = rng.randrange(2900), size + rng.randrange(suffix_dedup.RUN)
+        texts.append(source[at : at + n][: size + suffix_dedup.RUN - 1])
+        owner.append(rng.randrange(40))
+    digits = np.array([rng.randrange(3) for _ in texts], np.uint64)
+    least = {}
+    for text, digit, who in zip(texts, digits.tolist(), owner, strict=True):
+        for k in range(len(text) - size + 1):
+            key = (digit, text[k : k + size])
+            least[key] = min(who, least.get(key, who))
+    expected = [sum((least[(d, t[k : k + size])] < o) << k for k in range(len(t) - size + 1)) for t, d, o in zip(texts, digits.tolist(), owner, strict=True)]
+    for portion in (1, 700, 1 << 20):
+        assert suffix_dedup.repeated(texts, digits, np.array(owner), size, portion).tolist() == expected
+
+
 def test_digit_passes_equal_sorting():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
