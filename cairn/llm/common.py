@@ -78,8 +78,22 @@ class Shelf:
         self.sweep()
 
 
+#: Bytes of an Arrow batch between Spark and Python workers; a longer row is one alone.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for this session and where it names no bound itself.
+    Spark's own bound is a number of rows, and batches of that many whole texts are held
+    by the JVM and the worker at once.  Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def own_columns(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Only the named columns, quoted, so that extra columns never clash."""
+    small_batches(df.sparkSession)
     picked = [F.col(f"`{n}`").alias(n) for n in names]
     return df.select(*picked, *[F.col(f"`{c}`").alias(n) for n, c in renamed.items()])
 

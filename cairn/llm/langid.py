@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cairn.llm.common import flat, fresh, lean, own_columns, slices
+from cairn.llm.common import flat, fresh, lean, own_columns, slices, small_batches
 
 GRAM = 4
 HASHES = 3
@@ -142,12 +142,12 @@ def train(docs: DataFrame, per_language: int = 2000, profile: int = 6000, least:
         for batch in batches:
             codes = np.array([languages.index(x) for x in batch.column("lang").to_pylist()], np.uint64)
             buf, bounds = flat(batch.column("text"))
-            for i, j in slices(bounds, 4 << 20):
+            for i, j in slices(bounds, 1 << 20):
                 gram, at = grams(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 key, n = np.unique(gram | (np.repeat(codes[i:j], np.diff(at)) << np.uint64(32)), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"code": pa.array((key >> np.uint64(32)).astype(np.int32)), "gram": pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), "n": pa.array(n)})
 
-    found = chosen.select("text", "lang").mapInArrow(count, "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = chosen.select("text", "lang").mapInArrow(lean(count), "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # the best of each part and then, of at most PARTS * profile rows per language, of each language
     for part in ([F.pmod(F.xxhash64("gram"), F.lit(PARTS))], []):
         order = Window.partitionBy("code", *part).orderBy(F.desc("n"), "gram")
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 own = [batch.column(k).slice(i, j - i) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in schema.fields])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(fresh(docs, "_text")))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())])
     return rows.mapInArrow(lean(label), schema)
