@@ -124,10 +124,29 @@ def release() -> None:
         return
 
 
-def lean(step: Callable) -> Callable:
-    """A ``mapInArrow`` step that releases memory at the end of each task."""
+#: What a worker keeps from task to task (models, encoders).
+KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    KEPT.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Drop what tasks of other kinds kept in this worker, which outlives its stage."""
+    for cache in KEPT:
+        cache.clear()
+
+
+def lean(step: Callable, keeps: bool = False) -> Callable:
+    """A ``mapInArrow`` step that releases memory at the end of each task; one that keeps
+    nothing between tasks also gives up what earlier stages kept, at its beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+            release()
         try:
             yield from step(batches)
         finally:
@@ -140,6 +159,7 @@ def lean_group(step: Callable) -> Callable:
     """An ``applyInArrow`` step that releases memory after each group."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         try:
             return step(table)
         finally:

@@ -51,7 +51,7 @@ def cut(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id:
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(v, t) for n, v, t in zip(PIECES.split(", "), zip(*rows, strict=True), types, strict=True)})
 
-    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(pieces), PIECES)
+    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(pieces, keeps=True), PIECES)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> pd.DataFrame:

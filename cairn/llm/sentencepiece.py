@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import flat, lean, own_columns, slices, spread
+from cairn.llm.common import flat, kept, lean, own_columns, slices, spread
 from cairn.llm.wordbpe import default_path, distinct_spans
 
 BLANK = "▁"
@@ -258,7 +258,7 @@ class PieceModel:
         return [data[a:b].removeprefix(b" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[str, PieceModel] = kept({})
 
 
 def model(path: str) -> PieceModel:
@@ -295,4 +295,4 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False, id_
                 yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))} if with_ids else {}))
 
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run), schema + (", ids array<int>" if with_ids else ""))
+    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run, keeps=True), schema + (", ids array<int>" if with_ids else ""))

@@ -49,7 +49,7 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end_id: in
         if out:
             out.close()
 
-    return stage(own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(write), ORDER), "flat-order")
+    return stage(own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(write, keeps=True), ORDER), "flat-order")
 
 
 def scan(spark: SparkSession, folder: str, files: DataFrame, end_id: int = END_OF_DOCUMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:

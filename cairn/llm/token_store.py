@@ -150,7 +150,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
         if frames:
             frames.out.close()
 
-    recipes = stage(docs.mapInArrow(lean(draft), DRAFT), "recipes")
+    recipes = stage(docs.mapInArrow(lean(draft, keeps=True), DRAFT), "recipes")
     chunk = recipes.select(*ROW, "shard", F.posexplode("digests").alias("pos", "digest"))
     owners = chunk.groupBy("digest").agg(F.min(F.struct(*ROW, "shard", "pos")).alias("o"), F.count(F.lit(1)).alias("uses")).groupBy("o.shard", *[f"o.{c}" for c in ROW]).agg(F.sort_array(F.collect_list(F.struct("o.pos", "uses"))).alias("own"))
     folder = shared_dir(spark, "id-store")

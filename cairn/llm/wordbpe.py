@@ -15,7 +15,7 @@ import os
 
 import numpy as np
 
-from cairn.llm.common import spread
+from cairn.llm.common import kept, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -247,7 +247,7 @@ class Encoder:
         return np.concatenate(each), np.cumsum([0, *(len(x) for x in each)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept({})
 
 
 def encoder(path: str) -> Encoder:
