@@ -46,6 +46,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rest(spark: SparkSession) -> None:
+    """Let every executor collect its garbage and give the memory back.  A heap that one
+    step made large stays large in the next, which may need room outside it: direct
+    buffers, codecs, Python workers.  One short task per core; it changes no result."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(collected.alias("done")).agg(F.count("done")).collect()
+
+
 class Shelf:
     """Staged tables and folders that only serve until an operator returns."""
 
@@ -63,12 +72,14 @@ class Shelf:
 
     def sweep(self) -> None:
         """Let Spark drop the shuffle files of jobs whose results are staged; it does so
-        when the driver collects its garbage, in two rounds: plans, then what they held."""
+        when the driver collects its garbage, in two rounds: plans, then what they held.
+        Executors then collect theirs."""
         for _ in range(2):
             gc.collect()
             time.sleep(0.2)  # Python's references end on another thread
             self.spark.sparkContext._jvm.System.gc()
             time.sleep(0.2)
+        rest(self.spark)
 
     def clear(self) -> None:
         for path in self.paths:
