@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup, langid, ngram_join, packing, suffix_dedup
-from cairn.llm.common import fresh, stage
+from cairn.llm.common import fresh, rest, stage
 
 #: Shortest repeated passage, in bytes, that the suffix stage removes: well under fifty
 #: words of running text, well over what independent texts share by chance.
@@ -26,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with letters stay, with a null label.  Ids don't matter here: null and repeated ones
     stay.  An empty table stays empty; extra columns, whatever their names, stay as well.
     """
+    rest(spark)
     found, score = fresh(docs, "_language"), fresh(docs, "_language_score")
     model = langid.train(docs)
     if not model.languages:
@@ -38,6 +39,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the largest id, stays; null
     ids give way to any other, and of rows equal in id and text any one stays.  Null
     text equals empty text.  Extra columns stay; an empty table stays empty."""
+    rest(spark)
     return exact_dedup.keep_distinct(docs)
 
 
@@ -50,6 +52,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays, unless they have no words: null and wordless texts have no near copies and all
     stay.  Extra columns stay; an empty table stays empty.
     """
+    rest(spark)
     key, words = fresh(docs, "_key"), fresh(docs, "_words")
     name = lambda text_id, i: F.concat_ws(":", F.hex(text_id), F.coalesce(i.cast("string"), F.lit("null")))
     rows = stage(ngram_join.link(docs, words=5, percent=80, with_rows=True).select(name(F.col("text_id"), F.col("doc_id")).alias(key), F.col("n_shingles").alias(words), "stays"), "linked")
@@ -70,6 +73,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     largest.  Null, empty and untouched texts stay as they are.  Extra columns stay; an
     empty table stays empty.
     """
+    rest(spark)
     columns, (own_id, own_sha, kept) = docs.columns, (fresh(docs, x) for x in ("_id", "_sha", "_kept"))
     cut = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, with_text=True)
     cut = cut.where("n_removed > 0").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha), F.col("kept").alias(kept))
@@ -83,6 +87,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4,096 tokens with their sequence and place there.  Every row is
     packed, null text as its end id alone; an empty table gives no pieces."""
+    rest(spark)
     return packing.pack_documents(docs, SEQUENCE)
 
 
