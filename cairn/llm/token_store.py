@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import BlobReader, BlobWriter, flat, lean, own_columns, shared_dir, slices, stage, text_bytes
+from cairn.llm.common import BlobReader, BlobWriter, flat, lean, own_columns, shared_dir, slices, stage, text_bytes, values
 from cairn.llm.skew import join_once
 from cairn.llm.wordbpe import default_path, encoder, with_end
 
@@ -159,16 +160,16 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
         frames, reader = None, BlobReader(drafts, 48 << 20, unpress)
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for shard, file, frame, frame_bytes, at, sizes, digests, places, uses in zip(*map(values, batch.columns), strict=True):
                 if frames and frames.out.size >= PACK_BYTES:
                     rows += frames.flush()
                     frames.out.close()
                     frames = None
-                frames = frames or _Frames(folder, f"pack-{r['shard']:06d}")
-                data = reader.get(r["file"], r["frame"], r["frame_bytes"])
-                ends = np.cumsum([0, *r["sizes"]]) * width.itemsize + r["at"]
-                for own in r["own"]:
-                    frames.add(data[ends[own["pos"]] : ends[own["pos"] + 1]], r["digests"][own["pos"]], own["uses"])
+                frames = frames or _Frames(folder, f"pack-{shard:06d}")
+                data = reader.get(file, frame, frame_bytes)
+                ends = list(accumulate((n * width.itemsize for n in sizes), initial=at))
+                for pos, n in zip(places, uses, strict=True):
+                    frames.add(data[ends[pos] : ends[pos + 1]], digests[pos], n)
                     if frames.size >= FRAME:
                         rows += frames.flush()
             if rows:
@@ -181,6 +182,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int | None = 1
     same = [recipes["shard"] == owners["shard"], recipes["doc_id"].eqNullSafe(owners["doc_id"]), *[recipes[c] == owners[c] for c in ROW[1:]]]
     owned = recipes.drop("root", "n_tokens").join(owners, same, "inner").select(*[recipes[c] for c in (*ROW, "shard", "frame_bytes", "sizes", "digests")], "own")
     owned = owned.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "file", "frame", "at")
+    owned = owned.select("shard", "file", "frame", "frame_bytes", "at", "sizes", "digests", F.col("own.pos").alias("places"), F.col("own.uses").alias("uses"))
     return {"recipes": recipes, "chunks": stage(owned.mapInArrow(lean(store), CHUNKS), "chunks"), "folder": folder, "shards": shards, "width": width}
 
 
@@ -190,35 +192,45 @@ def read_store(store: dict) -> DataFrame:
     recipes, chunks, folder, shards, width = (store[k] for k in ("recipes", "chunks", "folder", "shards", "width"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, key, leaves, crc, n, root, start, shard, rows = BlobReader(folder, 64 << 20, unpress), None, [], 0, 0, None, 0, None, []
+        reader, doc_id, leaves, crc, n, root, start, shard, rows = BlobReader(folder, 64 << 20, unpress), None, [], 0, 0, None, 0, None, []
+        blobs, held = [], 0
+
+        def summed():
+            nonlocal crc, held
+            crc = zlib.crc32(np.frombuffer(b"".join(blobs), width).astype("<u4"), crc)
+            blobs.clear()
+            held = 0
 
         def done():
+            summed()
             if merkle(leaves) != root:
-                raise ValueError(f"document {key[0]} doesn't have its Merkle root")
-            rows.append((key[0], shard, start, n, crc))
+                raise ValueError(f"document {doc_id} doesn't have its Merkle root")
+            rows.append((doc_id, shard, start, n, crc))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (now := (r["doc_id"], r["doc_file"], r["doc_frame"], r["doc_at"])) != key:
-                    if key is not None:
+            for own_id, own_shard, own_root, pos, size, digest, file, frame, frame_bytes, at in zip(*map(values, batch.columns), strict=True):
+                if not pos:  # a document's first chunk, or the row of one that has none
+                    if root is not None:
                         done()
                         start += n
-                    if r["shard"] != shard:
-                        start, shard = 0, r["shard"]
-                    key, leaves, crc, n, root = now, [], 0, 0, r["root"]
-                if r["digest"] is None:
+                    if own_shard != shard:
+                        start, shard = 0, own_shard
+                    doc_id, leaves, crc, n, root = own_id, [], 0, 0, own_root
+                if digest is None:
                     continue
-                frame = reader.get(r["file"], r["frame"], r["frame_bytes"])
-                blob = frame[r["at"] : r["at"] + r["size"] * width.itemsize]
-                if hashlib.blake2b(blob, digest_size=16).digest() != r["digest"]:
-                    raise ValueError(f"damaged chunk in {r['file']}")
-                leaves.append(r["digest"])
-                crc = zlib.crc32(np.frombuffer(blob, width).astype("<u4").tobytes(), crc)
-                n += r["size"]
+                blob = reader.get(file, frame, frame_bytes)[at : at + size * width.itemsize]
+                if hashlib.blake2b(blob, digest_size=16).digest() != digest:
+                    raise ValueError(f"damaged chunk in {file}")
+                leaves.append(digest)
+                blobs.append(blob)
+                held += len(blob)
+                if held >= FRAME:
+                    summed()
+                n += size
             if rows:
                 yield _batch(READ, READ_TYPES, rows)
                 rows.clear()
-        if key is not None:
+        if root is not None:
             done()
             yield _batch(READ, READ_TYPES, rows)
 
@@ -227,6 +239,7 @@ def read_store(store: dict) -> DataFrame:
     # a chunk that many documents share (an empty text's, a licence's) doesn't fill one task
     uses = recipes.agg(F.sum(F.size("digests"))).first()[0] or 0
     rows = join_once(rows, chunks, "digest", "uses", uses, ["doc_file", "doc_frame", "doc_at", "pos"]).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "doc_file", "doc_frame", "doc_at", "pos")
+    rows = rows.select("doc_id", "shard", "root", "pos", "size", "digest", "file", "frame", "frame_bytes", "at")
     totals = recipes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per pack
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

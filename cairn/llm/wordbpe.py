@@ -3,7 +3,7 @@
 BPE never crosses a pre-token, so a text's ids are its pre-tokens' ids in a row.
 Texts are lower-cased and cut into pre-tokens with numpy over whole batches; each
 distinct pre-token goes through the library once and is then remembered under its own
-bytes (hashes only sort; what they call equal is compared).  Texts with any character outside a plainly handled range (ASCII
+bytes (hashes only sort and place; what they call equal is compared).  Texts with any character outside a plainly handled range (ASCII
 without control characters, and two-byte Latin letters) and all texts for a
 tokenizer of another make go through the library whole.
 """
@@ -27,15 +27,18 @@ WORD_END = "</w>"
 #: Latin-1 signs (lead byte C2) and all characters past U+027F.
 UNUSUAL = np.ones(256, bool)
 UNUSUAL[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
+UNUSUAL_TABLE = UNUSUAL.tobytes()
+PAIRS = (b"\xc3\x97", b"\xc3\xb7", b"<|")
 
 
-def unusual(buf: np.ndarray) -> np.ndarray:
+def unusual(data: bytes) -> np.ndarray:
     """Positions of such bytes, of the two signs among the Latin-1 letters, and
     of what may begin a special token."""
-    found = UNUSUAL[buf]
-    if len(buf) > 1:
-        a, b = buf[:-1], buf[1:]
-        found[:-1] |= ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == ord("<")) & (b == ord("|")))
+    found = np.frombuffer(data.translate(UNUSUAL_TABLE), bool)
+    for pair in PAIRS:
+        if pair in data:
+            buf, found = np.frombuffer(data, np.uint8), found.copy()
+            found[:-1] |= (buf[:-1] == pair[0]) & (buf[1:] == pair[1])
     return np.flatnonzero(found)
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
@@ -44,6 +47,7 @@ CLASSES[[9, 10, 13, 32]] = SPACE
 CLASSES[ord("a") : ord("z") + 1] = LETTER
 CLASSES[0x80:] = LETTER
 CLASSES[ord("0") : ord("9") + 1] = DIGIT
+CLASSES_TABLE = CLASSES.tobytes()
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,11 +123,74 @@ def distinct_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return index, heads
 
 
+class Words:
+    """Numbers of words of 1 to 16 bytes, none of them NUL, by open addressing; found and
+    entered a batch at a time.  A word's bytes, with NULs behind, are its two keys."""
+
+    def __init__(self):
+        self._empty(1 << 16)
+        self.held = 0
+
+    def _empty(self, size: int) -> None:
+        self.low, self.high, self.number = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32)
+
+    @staticmethod
+    def keys(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        low, high = eight[starts], np.zeros(len(starts), np.uint64)
+        spare = (np.maximum(0, 8 - lengths) * 8).astype(np.uint64)
+        low = (low << spare) >> spare
+        long = np.flatnonzero(lengths > 8)
+        spare = ((16 - lengths[long]) * 8).astype(np.uint64)
+        high[long] = (eight[starts[long] + 8] << spare) >> spare
+        return low, high
+
+    def _places(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ (high * np.uint64(0xD6E8FEB86659FD93))) * MIX
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(65 - len(self.low).bit_length())).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Each word's number, -1 for unknown ones."""
+        place = self._places(low, high)
+        there = self.low[place]
+        same = (there == low) & (self.high[place] == high)
+        found = np.where(same, self.number[place], np.int32(-1))
+        live = np.flatnonzero(~same & (there != 0))
+        while len(live):
+            place[live] = next_place = (place[live] + 1) & (len(self.low) - 1)
+            there = self.low[next_place]
+            same = (there == low[live]) & (self.high[next_place] == high[live])
+            found[live[same]] = self.number[next_place[same]]
+            live = live[~same & (there != 0)]
+        return found
+
+    def enter(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Adds distinct words that are not there yet."""
+        self.held += len(low)
+        if 2 * self.held > len(self.low):
+            full = self.low != 0
+            low, high, number = (np.concatenate([old[full], new]) for old, new in ((self.low, low), (self.high, high), (self.number, number)))
+            self._empty(1 << (4 * self.held - 1).bit_length())
+        place, live = self._places(low, high), np.arange(len(low))
+        while len(live):
+            at = place[live]
+            free = self.low[at] == 0
+            self.number[at[free]] = number[live[free]]  # of several words one stays
+            won = free.copy()
+            won[free] = self.number[at[free]] == number[live[free]]
+            self.low[at[won]], self.high[at[won]] = low[live[won]], high[live[won]]
+            live = live[~won]
+            place[live] = (place[live] + 1) & (len(self.low) - 1)
+
+
 def pretokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the pre-tokens of lower-cased bytes."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = CLASSES[buf]
+    kind = np.frombuffer(buf.tobytes().translate(CLASSES_TABLE), np.uint8)
     first = np.empty(len(buf), bool)
     first[0] = True
     np.not_equal(kind[1:], kind[:-1], out=first[1:])
@@ -177,7 +244,7 @@ class Encoder:
         )
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.words_known, self.long, self.count = Words(), {}, 0  # long: words of over 16 bytes
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.at = np.zeros(1 << 16, np.int64)
@@ -191,7 +258,7 @@ class Encoder:
             if len(ends) != len(part):  # not one end to each word: one by one
                 each = [np.array(self.words.encode(w, add_special_tokens=False).ids, np.int32) for w in part]
                 ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            n = len(self.known)
+            n = self.count
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while n + len(part) > len(self.at):
@@ -201,19 +268,39 @@ class Encoder:
             self.at[n : n + len(part)] = self.used + begins
             self.len[n : n + len(part)] = ends - begins
             self.used += len(ids)
-            self.known.update(zip(words[i : i + 512], range(n, n + len(part)), strict=True))
+            self.count += len(part)
+
+    def _numbers(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of each word; new ones are learnt."""
+        data, short = buf.tobytes(), np.flatnonzero(lengths <= 16)
+        low, high = Words.keys(buf, starts[short], lengths[short])
+        index = np.full(len(starts), -1, np.int32)
+        index[short] = self.words_known.find(low, high)
+        if len(short) < len(starts):
+            rest = np.flatnonzero(lengths > 16)
+            number, heads = distinct_spans(buf, starts[rest], lengths[rest])
+            known = [self.long.get(data[a : a + n], -1) for a, n in zip(starts[rest[heads]].tolist(), lengths[rest[heads]].tolist(), strict=True)]
+            index[rest] = np.array(known, np.int32)[number]
+        missing = np.flatnonzero(index < 0)
+        if not len(missing):
+            return index
+        number, heads = distinct_spans(buf, starts[missing], lengths[missing])
+        if self.count and self.count + len(heads) > self.most:
+            self._forget()
+            return self._numbers(buf, starts, lengths)
+        at, new = missing[heads], self.count + np.arange(len(heads), dtype=np.int32)
+        words = [data[a : a + n] for a, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)]
+        self._learn(words)
+        brief = lengths[at] <= 16
+        self.words_known.enter(*Words.keys(buf, starts[at[brief]], lengths[at[brief]]), new[brief])
+        self.long.update((words[i], int(new[i])) for i in np.flatnonzero(~brief).tolist())
+        index[missing] = new[number]
+        return index
 
     def _plain(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """buf: lower-cased texts, each with a line end; bounds: where they begin."""
         starts, lengths = pretokens(buf)
-        index, heads = distinct_spans(buf, starts, lengths)
-        data = buf.tobytes()
-        distinct = [data[a : a + n] for a, n in zip(starts[heads].tolist(), lengths[heads].tolist(), strict=True)]
-        if len(self.known) + len(distinct) > self.most and self.known:
-            self._forget()
-        if missing := [w for w in distinct if w not in self.known]:
-            self._learn(missing)
-        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index]
+        index = self._numbers(buf, starts, lengths)
         sizes = self.len[index].astype(np.int64)
         ids = self.ids[spread(self.at[index], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -227,11 +314,11 @@ class Encoder:
             plain = np.zeros(len(texts), bool)
         else:
             lowered = [t.lower().encode() for t in texts]
-            buf = np.frombuffer(b"\n".join([*lowered, b""]), np.uint8)
+            data = b"\n".join([*lowered, b""])
             bounds = np.cumsum([0, *(len(t) + 1 for t in lowered)])
-            odd = unusual(buf)
+            odd = unusual(data)
             if not len(odd):
-                return self._plain(buf, bounds)
+                return self._plain(np.frombuffer(data, np.uint8), bounds)
             plain = np.ones(len(texts), bool)
             plain[np.searchsorted(bounds, odd, "right") - 1] = False
         each: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)

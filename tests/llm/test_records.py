@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import langid, media, packing, sentencepiece, skew, token_scan, token_store, warc, wordbpe
-from cairn.llm.common import shared_dir
+from cairn.llm.common import shared_dir, values
 
 ODD = [
     "", "it's we're don't  'sx ''s x's9 'll'd 12a3--'s!", "ÀÉÎ ß ǅ", "İx Ωσς ﬁ é", "a<|endoftext|>b", "x\x00y z«q» ×÷", None, "'", "''", "'re", "l'été n'est", "²³¼", "'rE 'S", "éte",
@@ -61,6 +61,48 @@ def test_encoder_equals_the_library(docs, ids):
             assert found[at[k] : at[k + 1]].tolist() == ids[i], i
 
 
+def test_known_words_are_looked_up(docs, ids, monkeypatch):
+    """Sorting all pre-tokens of every batch took most of the encoder's time."""
+    some = [(i, t) for i, t in docs if max(map(len, (t or "").encode().split()), default=0) <= 16]
+    e = wordbpe.Encoder(wordbpe.default_path())
+    first = e.encode([t for _, t in some])
+    monkeypatch.setattr(wordbpe, "distinct_spans", None)
+    again = e.encode([t for _, t in some])
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    found, at = wordbpe.with_end(*again, 1)
+    assert len(some) > 100 and all(found[at[k] : at[k + 1]].tolist() == ids[i] for k, (i, _) in enumerate(some))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_word_table(clash, monkeypatch):
+    if clash:  # all want the last place, so that the rest go on from the first
+        monkeypatch.setattr(wordbpe.Words, "_places", lambda self, low, high: np.full(len(low), len(self.low) - 1))
+    rng = random.Random(5)
+    words = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 17))) for _ in range(300 if clash else 40_000)})
+    words += [b"c" * n for n in range(1, 17)]
+    lengths = np.array([len(w) for w in words])
+    starts = np.cumsum(lengths) - lengths
+    low, high = wordbpe.Words.keys(np.frombuffer(b"".join(words), np.uint8), starts, lengths)
+    table, n = wordbpe.Words(), len(words)
+    table._empty(64)  # grows on the way
+    for begin in range(0, n, 100):
+        part = slice(begin, begin + 100)
+        assert (table.find(low[part], high[part]) == -1).all()
+        table.enter(low[part], high[part], np.arange(n, dtype=np.int32)[part])
+    assert (table.find(low, high) == np.arange(n)).all()
+
+
+def test_long_words_are_remembered_and_forgotten():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(wordbpe.default_path()), random.Random(7)
+    e = wordbpe.Encoder(wordbpe.default_path(), remembered=20)
+    for _ in range(30):
+        part = [" ".join("".join(rng.choice("aeé") for _ in range(rng.choice([1, 2, 8, 15, 16, 17, 18, 40]))) for _ in range(6)) for _ in range(5)] * 2
+        found, at = e.encode(part)
+        assert [found[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
 # ---- archives
 
 
@@ -96,6 +138,25 @@ def test_damage_is_found(spark, tmp_path):
 # ---- token store
 
 
+def test_values_are_those_of_to_pylist():
+    import pyarrow as pa
+
+    for column in (
+        pa.array([3, -1, 7, 2**62]), pa.array([1, None]), pa.array(["a", "", "é", "a"]), pa.array(["x", "y", "x"], pa.large_string()), pa.array([b"ab", b"", b"c\0"]),
+        pa.array([b"ab", None, b"c"]), pa.array([[1, 2], [], [3]], pa.list_(pa.int32())), pa.array([[b"u", b"vw"], [b""], []]), pa.array([[1, None], [2]]), pa.array([[1], None, [2]]), pa.array([0.5, 2.0]),
+    ):
+        for part in (column, column[1:], column[:1], column[:0]):
+            assert values(part) == part.to_pylist()
+
+
+def test_store_without_end_ids(spark, ids, docs):
+    rows = [(5, ""), (1, None), (9, "the the"), (9, ""), (2, "word " * 3000), (30, None)]
+    store = token_store.write_store(frame(spark, rows), end_id=None)
+    found = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(store).collect())
+    assert sorted(f[:1] + f[2:] for f in found) == sorted((i, len(own), crc(own)) for i, t in rows for own in [wordbpe.encoder(wordbpe.default_path()).encode([t])[0]])
+    assert {f[0]: f[1] for f in found if f[0] != 9} == {1: 0, 2: 0, 5: 3000, 30: 3002} and {f[1] for f in found if f[0] == 9} <= {3000, 3002}
+
+
 def test_store(spark, docs, ids):
     store = token_store.write_store(frame(spark, docs))
     found = {r["doc_id"]: r for r in token_store.read_store(store).collect()}
